@@ -26,8 +26,19 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_shards(manifest, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed into sequences of 2048 ids: one row per piece."""
+    from boardlens.llm import packing, token_pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = shared.materialise(token_pieces.token_pieces(docs, tokenizer_file(BYTE_BPE), 1, 2048), "packing")
+    pieces = packing.pack(counted, "doc_tokens", "doc_id")
+    crc = F.element_at("piece_crcs", (F.col("piece") + 1).cast("int"))
+    return pieces.select("doc_id", "start", F.col("piece_length").alias("length"), crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards,)}
+    return {f.__name__: f for f in (op3_token_shards, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
