@@ -26,6 +26,17 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_shards(manifest, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier fitted to the labels it may learn from."""
+    from boardlens.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.with_labels(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    held_out = ~toxicity.learnable(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of 2048 ids: one row per piece."""
     from boardlens.llm import packing, token_pieces
@@ -38,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op9_packing)}
+    return {f.__name__: f for f in (op3_token_shards, op8_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
