@@ -48,9 +48,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", F.col("piece_length").alias("length"), crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC files, read back: digest, kind and reference of each record."""
+    from boardlens.llm import warc
+
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), shared.new_dir(spark, "warc"))
+    records = warc.read_warc(manifest)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(p.hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '')
+         AS payload_digest,
+       CASE WHEN f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+FROM p JOIN f USING (html)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op3_token_shards, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
