@@ -26,6 +26,18 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_shards(manifest, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, judged by who else holds them."""
+    from boardlens.llm import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.find_secrets(docs)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    live = F.size(F.filter("secrets", lambda s: s["verdict"] == "live")).cast("long")
+    base = F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS[: secrets.BASE_KINDS]], base.alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"), live.alias("n_live"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a classifier fitted to the labels it may learn from."""
     from boardlens.llm import toxicity
@@ -71,7 +83,7 @@ FROM p JOIN f USING (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op3_token_shards, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
