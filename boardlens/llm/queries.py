@@ -26,6 +26,14 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_shards(manifest, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from boardlens.llm import htmltext
+
+    pages = htmltext.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, judged by who else holds them."""
     from boardlens.llm import secrets
@@ -83,7 +91,7 @@ FROM p JOIN f USING (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op3_token_shards, op4_html_text, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
