@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, substitutions tolerated."""
+    from boardlens.llm import decontaminate
+
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in wavelet-matrix shards, read back: place, count and CRC of each."""
     from boardlens.llm import tokens
@@ -91,7 +98,7 @@ FROM p JOIN f USING (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op4_html_text, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_html_text, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
