@@ -41,6 +41,13 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    from boardlens.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, judged by who else holds them."""
     from boardlens.llm import secrets
@@ -98,7 +105,7 @@ FROM p JOIN f USING (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_html_text, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_html_text, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
