@@ -41,6 +41,16 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword-lattice probability of every document, learned from four fifths of them."""
+    from boardlens.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = lm.score(docs, ~held_out, tokenizer_file("piece_bpe_32k.model"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors found for every vector whose id is divisible by 100."""
     from boardlens.llm import ann
@@ -105,7 +115,7 @@ FROM p JOIN f USING (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_html_text, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_html_text, op5_lm_score, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
