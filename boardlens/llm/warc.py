@@ -8,9 +8,8 @@ when whole; the manifest, written last, names the files that count.
 
 Of records with equal payloads of at least ``min_revisit_bytes`` the one with
 the smallest key is a response and the others are revisits that refer to it.
-The first is found by a map-side combined minimum per digest, and only digests
-met twice are joined back, so a payload that a third of all pages share is never
-gathered in one task.
+The first is found by a map-side combined minimum per digest; keys and digests,
+not payloads, are joined with it, and payloads move once, to their range.
 
 Nulls and odd rows: a null payload is empty, a null url gives no target URI; rows
 without a key are not archived (a record needs a name); rows that repeat a key
@@ -86,15 +85,13 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def mark_revisits(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """(k, url, payload, refers_to): refers_to is the response's key for revisits, else null."""
-    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
-    body = F.encode("payload", "UTF-8")
-    digest = F.sha2(body, 256)
-    firsts = rows.select("k", digest.alias("digest"), F.length(body).alias("n")).where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1").select("digest", "first")
-    joined = rows.withColumn("digest", F.when(F.length(body) >= min_revisit_bytes, digest)).join(firsts, "digest", "left")
-    return joined.select("k", "url", "payload", F.when(F.col("first") < F.col("k"), F.col("first")).alias("refers_to"))
+def mark_revisits(pages: DataFrame, *, key: str = "page_id", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
+    """(k, digest, first): the keys whose payload (SHA-256 ``digest``) a smaller key holds too, with the smallest."""
+    body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.sha2(body, 256).alias("digest"), F.length(body).alias("n"))
+    rows = rows.where(F.col("n") >= min_revisit_bytes).select("k", "digest")
+    firsts = rows.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    return rows.join(firsts.select("digest", "first"), "digest").where("first < k").select("k", "digest", "first")
 
 
 def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -108,6 +105,7 @@ def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str
         held: list[bytes] = []
         size = 0
         last = None
+        seen: set[str] = set()
 
         def roll() -> pa.RecordBatch:
             nonlocal held, size, seq
@@ -119,23 +117,37 @@ def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             return pa.RecordBatch.from_pylist([row], pa.schema(list(zip(row, kinds, strict=True))))
 
+        marks: dict[str, int] = {}
         for batch in batches:
             for i in range(len(batch)):
-                k, u, body, first = (batch.column(j)[i].as_py() for j in range(4))
+                k, digest, first, u, body = (batch.column(j)[i].as_py() for j in range(5))
+                if k != last:
+                    marks = {}
+                    seen = set()
+                    last = k
+                if digest is not None:
+                    marks[digest] = first
+                    continue
+                data = (body or "").encode("utf-8", "replace")
+                same = hashlib.sha256(data).hexdigest()
+                first = marks.get(same)
                 # A repeated key is a repeated row: all but its first refer to it.
-                if first is None and k == last and len(body.encode()) >= min_revisit_bytes:
-                    first = k if body == last_body else None
-                last, last_body = k, body
+                if first is None and same in seen and len(data) >= min_revisit_bytes:
+                    first = k
+                seen.add(same)
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                held.append(z.compress(make_record(k, u, body.encode("utf-8", "replace"), first)) + z.flush())
+                held.append(z.compress(make_record(k, u, data, first)) + z.flush())
                 size += len(held[-1])
                 if size >= roll_bytes:
                     yield roll()
         if held:
             yield roll()
 
-    marked = mark_revisits(pages, key=key, url=url, payload=payload, min_revisit_bytes=min_revisit_bytes)
-    ordered = marked.repartitionByRange("k").sortWithinPartitions("k", "url", "payload")
+    # Marks travel to their records' range and come before them, so payloads are dealt out once.
+    marks = mark_revisits(pages, key=key, payload=payload, min_revisit_bytes=min_revisit_bytes)
+    marks = marks.select("k", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))
+    records = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload"))
+    ordered = records.unionByName(marks).repartitionByRange("k").sortWithinPartitions("k", F.col("digest").asc_nulls_last(), "url", "payload")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
 
