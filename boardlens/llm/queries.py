@@ -24,6 +24,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over five-word shingles, Jaccard 0.75 or more."""
+    from boardlens.llm import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in wavelet-matrix shards, read back: place, count and CRC of each."""
     from boardlens.llm import tokens
@@ -115,7 +122,7 @@ FROM p JOIN f USING (html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_html_text, op5_lm_score, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_token_shards, op4_html_text, op5_lm_score, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,54 +1,14 @@
 """Places that the driver and every executor can reach.
 
-Intermediate tables and files go below the folder that the session names in
-``spark.checkpoint.dir``; a folder of our own is made only where it is unset
-(single-machine tests).
+Tables go through :mod:`boardlens.sources.scratch`; files that Python code on
+executors writes are handled here.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from boardlens.sources.scratch import drop_dir, drop_table, materialise, new_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def base_dir(spark: SparkSession) -> str:
-    """The shared folder as a qualified URI (made on first use if none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="boardlens-"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return str(fs.makeQualified(path).toString()).rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder name; nobody else writes there."""
-    return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back (cuts lineage)."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by :func:`new_dir` once nothing reads it any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files behind a table made by :func:`materialise`."""
-    files = df.inputFiles()
-    if files:
-        drop_dir(df.sparkSession, files[0].rsplit("/", 1)[0])
+__all__ = ["drop_dir", "drop_table", "materialise", "new_dir", "open_fs", "read_bytes", "write_bytes"]
 
 
 def open_fs(uri: str):
