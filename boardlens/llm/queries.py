@@ -121,8 +121,15 @@ FROM p JOIN f USING (html)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw documents to packed sequences: the stages of corpus_pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_token_shards, op4_html_text, op5_lm_score, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_token_shards, op4_html_text, op5_lm_score, op6_nearest, op7_secrets, op8_toxicity, op9_packing, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
