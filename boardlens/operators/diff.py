@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
 def cluster_changes(before: DataFrame, after: DataFrame, nodes_before: DataFrame, nodes_after: DataFrame) -> DataFrame:
     """(board_id, change, cluster_ord, label, previous_label, added, removed, edited): new, removed, modified, unchanged."""
     matched = greedy_match(candidate_pairs(before, after))
-    named = lambda df, nodes, p: df.join(refine.content_hash(refine.members(df, nodes), "board_id", "cluster_id"), ["board_id", "cluster_id"], "left").select("board_id", F.col("cluster_id").alias(f"{p}_id"), F.col("label").alias(f"{p}_label"), F.col("summary").alias(f"{p}_summary"), F.col("node_ids").alias(f"{p}_nodes"), F.col("content_hash").alias(f"{p}_hash"), F.col("cluster_ord").alias(f"{p}_n"))
+    named = lambda df, nodes, p: df.drop("content_hash").join(refine.content_hash(refine.members(df, nodes), "board_id", "cluster_id"), ["board_id", "cluster_id"], "left").select("board_id", F.col("cluster_id").alias(f"{p}_id"), F.col("label").alias(f"{p}_label"), F.col("summary").alias(f"{p}_summary"), F.col("node_ids").alias(f"{p}_nodes"), F.col("content_hash").alias(f"{p}_hash"), F.col("cluster_ord").alias(f"{p}_n"))
     b, a = named(before, nodes_before, "b"), named(after, nodes_after, "a")
     edits = node_changes(nodes_before, nodes_after).where("change = 'edited'").groupBy("board_id").agg(F.collect_set("id").alias("edits"))
     met = matched.select("board_id", "b_id", "a_id").join(b, ["board_id", "b_id"]).join(a, ["board_id", "a_id"]).join(edits, "board_id", "left")
@@ -102,7 +104,7 @@ def report(board: str, times: tuple[str, str], stats: dict, clusters: list, conn
             lines.append(f"- … and {len(items) - SHOWN} more")
 
     of = lambda k: [c for c in clusters if c["change"] == k]
-    first = lambda s: __import__("re").split(r"(?<=[.!?])\s+", s or "")[0].strip()
+    first = lambda s: re.split(r"(?<=[.!?])\s+", s or "")[0].strip()
     if of("new"):
         lines.append(f"New clusters ({len(of('new'))}):")
         section(of("new"), lambda c: f'- "{c["label"]}": {first(c["summary"])}')

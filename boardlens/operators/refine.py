@@ -127,7 +127,7 @@ def node_hash(nodes: DataFrame) -> DataFrame:
 def reuse_index(previous: DataFrame, nodes: DataFrame) -> DataFrame:
     """Previous clusters by the content hash of their members; only those whose members all resolve, the last of equals."""
     rows = members(previous, nodes)
-    whole = content_hash(rows, "board_id", "cluster_id").join(previous, ["board_id", "cluster_id"]).where(F.col("n_members") == F.size("node_ids"))
+    whole = content_hash(rows, "board_id", "cluster_id").join(previous.drop("content_hash"), ["board_id", "cluster_id"]).where(F.col("n_members") == F.size("node_ids"))
     keep = F.struct("label", "summary", "summary_source", "model_id", "confirmed_node_ids")
     return whole.groupBy("board_id", F.col("content_hash")).agg(F.max_by(keep, "cluster_ord").alias("previous"))
 
