@@ -490,3 +490,14 @@ def test_rest_source(spark, tmp_path):
     assert [(r["board_id"], r["raw"]) for r in got] == [("k1", '{"document": 1}'), ("k2", "{}")]
     assert "Retry after 9 seconds" in rest.describe_status(429, "x", "/p", "9") and "404" in rest.describe_status(404, "x", "/p")
     assert rest.image_addresses(b'{"meta": {"images": {"a": "u", "b": null}}}') == {"a": "u"}
+
+
+def test_components_in_one_task(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(300)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rows = lambda x: {r["node"]: r["component"] for r in x.collect()}
+    assert rows(components.local_components(df)) == rows(components.connected_components(df))
+    assert rows(components.local_components(df.limit(0))) == {}
