@@ -22,8 +22,10 @@ sorting. Groups of sets that share a signature are never expanded into pairs:
 one member is compared with the others, the links found are joined into
 components, and only groups that still hold several components go on, with the
 best-linked members as the next ones to compare, more in each round, until every
-pair of a group is compared or known to be connected. So no link is lost and a
-group of thousands of copies costs a few comparisons each.
+pair of a group is compared or known to be connected. Comparisons are first by
+parity sketches, which refute pairs for certain but confirm none; what they
+leave is verified on the sets. So no link is lost and a group of thousands of
+copies costs a few comparisons each.
 
 Sets are told apart by 64-bit keys of their members' 64-bit keys: equal texts
 are one set from the start. Nulls and odd rows: texts that are null or have no
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from boardlens.llm import words as W
 from boardlens.llm.shared import drop_table, materialise
-from boardlens.operators.components import connected_components
+from boardlens.operators.components import LOCAL_EDGES, connected_components, local_components
 
 U64 = np.uint64
 SHINGLE = 5
@@ -304,8 +306,31 @@ def candidate_groups(docs: DataFrame, n_docs: int, members: int) -> DataFrame:
     return found.groupBy("gid").agg(F.first("nodes").alias("nodes"))
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """Parity of the members by bit, in a power of two of bits, four a member or more.
+
+    Each member flips one bit, so two sketches (folded to one length) differ in
+    no more bits than their sets differ in members.
+    """
+    bits = max(256, 1 << int(np.ceil(np.log2(max(1, 4 * len(members))))))
+    odd = np.bincount((members & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size // 8), U64)
+    for i, raw in enumerate(sketches):
+        x = np.frombuffer(raw, U64)
+        while len(x) > size // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
 def _members(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, size, members) of the sets in ``groups``; members are sorted 64-bit keys."""
+    """(node, size, sketch, members) of the sets in ``groups``; copies met by other tasks repeat."""
     spark = docs.sparkSession
     wanted = groups.select(F.explode("nodes").alias("node")).distinct()
 
@@ -338,10 +363,32 @@ def _members(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 cut = np.searchsorted(row, np.arange(len(key) + 1))
                 some = np.flatnonzero(first).tolist()
                 if some:
-                    yield pa.RecordBatch.from_arrays([_signed(key[some]), pa.array(size[some], pa.int64()), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "size", "members"])
+                    sets = [h[cut[i] : cut[i + 1]] for i in some]
+                    yield pa.RecordBatch.from_arrays([_signed(key[some]), pa.array(size[some], pa.int64()), pa.array(map(sketch, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "size", "sketch", "members"])
+
+    return docs.select("t").mapInArrow(run, "node long, size long, sketch binary, members binary")
 
-    held = docs.select("t").mapInArrow(run, "node long, size long, members binary")
-    return held.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+def compare_group(node: np.ndarray, part: np.ndarray, degree: np.ndarray, size: np.ndarray, sketches: list[bytes], centres: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(pairs worth verifying, nodes that go on) of one group.
+
+    The best-linked members are compared with all members of other components;
+    sketches refute most pairs that are no link.
+    """
+    if (part == part[0]).all():
+        return [], node[:0]
+    order = np.lexsort((node, -degree))
+    node, part, size = node[order], part[order], size[order]
+    rows = _fold([sketches[i] for i in order.tolist()])
+    pairs = []
+    for c in range(min(centres, len(node))):
+        at = np.flatnonzero((part != part[c]) & (differ(size, size[c]) >= np.abs(size - size[c])))
+        at = at[at > c]
+        apart = np.bitwise_count(rows[at] ^ rows[c]).sum(1)
+        at = at[apart <= differ(size[at], size[c])]
+        pairs += [(int(node[c]), int(node[i])) for i in at.tolist()]
+    rest = node[centres:]
+    return pairs, rest if len(rest) > 1 else node[:0]
 
 
 def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -357,51 +404,67 @@ def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 linked.append(100 * both >= PERCENT * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    side = lambda n: members.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("members").alias(f"{n}_set"))
-    size = members.select("node", "size")
-    near = pairs.join(size.toDF("a", "a_n"), "a").join(size.toDF("b", "b_n"), "b")
-    near = near.where(100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")).select("a", "b")
-    full = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if pairs.count() <= LOCAL_EDGES:  # a checked number of 8-byte keys
+        met = F.broadcast(met)
+    sets = members.select("node", "members").join(met, "node", "left_semi").dropDuplicates(["node"])
+    full = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
     return full.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+TURN = "gid long, a long, b long, nodes array<long>"
+#: Members of a group that are compared with the others, by turn.
+CENTRES = (1, 1, 64, 4096)
+
+
+def _comparer(centres: int):
+    def compare(group: pa.Table) -> pa.Table:
+        gid = group["gid"][0].as_py()
+        pairs, rest = compare_group(*(np.asarray(group[c]) for c in ("node", "part", "degree", "size")), group["sketch"].to_pylist(), centres)
+        n = len(pairs)
+        more = [rest.tolist()] if len(rest) else []
+        lo, hi = [min(p) for p in pairs], [max(p) for p in pairs]
+        k = n + len(more)
+        return pa.table({"gid": pa.array([gid] * k, pa.int64()), "a": pa.array(lo + [None] * len(more), pa.int64()), "b": pa.array(hi + [None] * len(more), pa.int64()), "nodes": pa.array([None] * n + more, pa.list_(pa.int64()))})
+
+    return compare
 
 
 def link_groups(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(links found, components of the linked sets) of the candidate groups; see the module's text."""
-    left = groups
+    left, spark = groups, groups.sparkSession
     links: DataFrame | None = None
     parts: DataFrame | None = None
-    centres, spark = 1, groups.sparkSession
-    for turn in range(64):
-        x = F.transform("nodes", lambda n: F.struct(F.lit(0).alias("rank"), n.alias("node"), n.alias("part")))
-        rows = left.select("gid", F.array_sort(x).alias("m"))
+    short = materialise(members.select("node", "size", "sketch").dropDuplicates(["node"]), "jaccard-sketches")
+    for turn in range(1 << 20):
+        centres = CENTRES[min(turn, len(CENTRES) - 1)]
+        facts = short
         if parts is not None:
-            degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").count()
-            known = parts.join(degree.toDF("node", "deg"), "node", "left")
-            each = left.select("gid", F.explode("nodes").alias("node")).join(known, "node", "left")
-            each = each.select("gid", F.struct((-F.coalesce("deg", F.lit(0))).alias("rank"), "node", F.coalesce("component", "node").alias("part")).alias("x"))
-            rows = each.groupBy("gid").agg(F.array_sort(F.collect_list("x")).alias("m"))
-            rows = rows.where(F.size(F.array_distinct(F.transform("m", lambda s: s["part"]))) > 1)
-        rows = materialise(rows, "jaccard-rows")
-        if not rows.limit(1).count():
-            break
-        centre = F.explode(F.slice("m", 1, centres)).alias("c")
-        every = rows.select("m", centre).select("c", F.explode("m").alias("o")).where("o.node <> c.node and o.part <> c.part")
-        pairs = every.select(*_ordered(F.col("c.node"), F.col("o.node")), F.col("o.node").alias("of"))
-        if turn == 0:  # each set is first compared with the one that it meets most often
-            met = pairs.groupBy("of", "a", "b").count()
+            degree = links.select("a").union(links.select("b")).groupBy("a").count()
+            facts = short.join(parts, "node", "left").join(degree.toDF("node", "degree"), "node", "left")
+        else:
+            facts = facts.withColumns({"component": F.lit(None).cast("long"), "degree": F.lit(0).cast("long")})
+        facts = facts.select("node", "size", "sketch", F.coalesce("component", "node").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        rows = left.select("gid", F.explode("nodes").alias("node"))
+        if parts is not None:  # groups that are one component need no sketches
+            apart = rows.join(facts.select("node", "part"), "node").groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gid")
+            rows = rows.join(apart, "gid", "left_semi")
+
+        done = materialise(rows.join(facts, "node").groupBy("gid").applyInArrow(_comparer(centres), TURN), "jaccard-turn")
+        pairs = done.where("a IS NOT NULL").select("a", "b")
+        if turn == 0:  # each set is first verified with the one that it meets most often
+            both = pairs.select("a", "b", F.col("a").alias("of")).union(pairs.select("a", "b", F.col("b").alias("of")))
+            met = both.groupBy("of", "a", "b").count()
             pairs = met.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.*")
-        pairs = pairs.select("a", "b").distinct()
+        pairs = materialise(pairs.distinct(), "jaccard-pairs")
         found = materialise(verify(pairs, members).where("linked").select("a", "b"), "jaccard-links")
         links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-        if turn > 0:
-            # The centres have met everybody; the rest of the group goes on.
-            left = rows.select("gid", F.transform(F.slice("m", centres + 1, F.greatest(F.size("m") - centres, F.lit(0))), lambda s: s["node"]).alias("nodes")).where(F.size("nodes") > 1)
-            centres = min(4 * centres, 4096)
+        # A checked number of links is joined in one task; beyond it, by rounds over all.
+        parts = (local_components if links.count() <= LOCAL_EDGES else connected_components)(links)
+        if turn > 0:  # the centres have met everybody; the rest of the group goes on
+            left = done.where("nodes IS NOT NULL").select("gid", "nodes")
+            if not left.limit(1).count():
+                break
     return links if links is not None else spark.createDataFrame([], "a long, b long"), parts
 
 

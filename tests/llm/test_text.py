@@ -153,3 +153,13 @@ def test_linked_sets_share_a_signature(size, share):
         if len(a) == len(b) == both:
             continue
         assert set(sig[r == 0].tolist()) & set(sig[r == 1].tolist()), (size, share, trial)
+
+
+def test_sketches_never_refute_a_link():
+    rng = np.random.default_rng(1)
+    for size in (5, 60, 300):
+        for _ in range(40):
+            a = W.mix(rng.integers(1, 1 << 60, size).astype(np.uint64))
+            b = np.concatenate([a[rng.integers(0, size // 3 + 1) :], W.mix(rng.integers(1 << 61, 1 << 62, rng.integers(0, size)).astype(np.uint64))])
+            x, y = jaccard._fold([jaccard.sketch(a), jaccard.sketch(b)])
+            assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
