@@ -194,6 +194,22 @@ def cut_blocks(page: str) -> list[Block]:
     return blocks
 
 
+def _neighbours(blocks: list[Block], back: bool = False) -> list[int | None]:
+    """For each block the last decided one before it (after it, if ``back``) that it may inherit from.
+
+    In an article-like region that is one of the region, elsewhere any.
+    """
+    last: dict[int, int] = {}
+    any_last: int | None = None
+    out: list[int | None] = [None] * len(blocks)
+    for i in range(len(blocks) - 1, -1, -1) if back else range(len(blocks)):
+        b = blocks[i]
+        out[i] = last.get(b.region) if b.region else any_last
+        if b.keep is not None:
+            last[b.region] = any_last = i
+    return out
+
+
 def decide(blocks: list[Block]) -> None:
     """Set ``keep`` of every block (both passes)."""
     articles = any(b.region > 0 for b in blocks)
@@ -208,14 +224,12 @@ def decide(blocks: list[Block]) -> None:
             b.keep = True
         elif n >= LONG_CHARS and stops < LOW_STOP_SHARE and b.region == 0:
             b.keep = False
-    decided = [i for i, b in enumerate(blocks) if b.keep is not None]
     first = [b.keep for b in blocks]
+    before_of, after_of = _neighbours(blocks), _neighbours(blocks, back=True)
     for i, b in enumerate(blocks):
         if first[i] is not None:
             continue
-        near = [j for j in decided if blocks[j].region == b.region] if b.region else decided
-        before = max((j for j in near if j < i), default=None)
-        after = min((j for j in near if j > i), default=None)
+        before, after = before_of[i], after_of[i]
         if before is None and after is None:
             b.keep = b.region > 0 or not articles
         elif b.heading and after is not None:  # a heading goes with what it heads
