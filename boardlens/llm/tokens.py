@@ -108,5 +108,5 @@ def read_token_shards(manifest: DataFrame, *, with_ids: bool = True) -> DataFram
                 yield pa.RecordBatch.from_pydict(cols)
 
     files = shard_starts(manifest)
-    files = files.repartition(F.col("path"))
+    files = files.repartition(max(1, min(manifest.count(), 4096)), "path")  # a row per file
     return files.mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
