@@ -307,12 +307,12 @@ def candidate_groups(docs: DataFrame, n_docs: int, members: int) -> DataFrame:
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """Parity of the members by bit, in a power of two of bits, four a member or more.
+    """Parity of the members by bit, in a power of two of bits, two a member or more.
 
     Each member flips one bit, so two sketches (folded to one length) differ in
     no more bits than their sets differ in members.
     """
-    bits = max(256, 1 << int(np.ceil(np.log2(max(1, 4 * len(members))))))
+    bits = max(256, 1 << int(np.ceil(np.log2(max(1, 2 * len(members))))))
     odd = np.bincount((members & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -369,25 +369,31 @@ def _members(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(run, "node long, size long, sketch binary, members binary")
 
 
-def compare_group(node: np.ndarray, part: np.ndarray, degree: np.ndarray, size: np.ndarray, sketches: list[bytes], centres: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def compare_group(node: np.ndarray, part: np.ndarray, degree: np.ndarray, size: np.ndarray, sketches: list[bytes], centres: int, first: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(pairs worth verifying, nodes that go on) of one group.
 
     The best-linked members are compared with all members of other components;
-    sketches refute most pairs that are no link.
+    sketches refute most pairs that are no link. ``first``: stop at the first
+    member that some pair is left of, and let it go on (not all its pairs are
+    verified at once); members before it have no link here and are done.
     """
     if (part == part[0]).all():
         return [], node[:0]
     order = np.lexsort((node, -degree))
     node, part, size = node[order], part[order], size[order]
     rows = _fold([sketches[i] for i in order.tolist()])
-    pairs = []
-    for c in range(min(centres, len(node))):
+    pairs: list[tuple[int, int]] = []
+    done = min(centres, len(node))
+    for c in range(done):
         at = np.flatnonzero((part != part[c]) & (differ(size, size[c]) >= np.abs(size - size[c])))
         at = at[at > c]
         apart = np.bitwise_count(rows[at] ^ rows[c]).sum(1)
         at = at[apart <= differ(size[at], size[c])]
         pairs += [(int(node[c]), int(node[i])) for i in at.tolist()]
-    rest = node[centres:]
+        if first and pairs:
+            done = c
+            break
+    rest = node[done:]
     return pairs, rest if len(rest) > 1 else node[:0]
 
 
@@ -414,13 +420,13 @@ def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 TURN = "gid long, a long, b long, nodes array<long>"
 #: Members of a group that are compared with the others, by turn.
-CENTRES = (1, 1, 64, 4096)
+CENTRES = (64, 1, 64, 4096)
 
 
-def _comparer(centres: int):
+def _comparer(centres: int, first: bool):
     def compare(group: pa.Table) -> pa.Table:
         gid = group["gid"][0].as_py()
-        pairs, rest = compare_group(*(np.asarray(group[c]) for c in ("node", "part", "degree", "size")), group["sketch"].to_pylist(), centres)
+        pairs, rest = compare_group(*(np.asarray(group[c]) for c in ("node", "part", "degree", "size")), group["sketch"].to_pylist(), centres, first)
         n = len(pairs)
         more = [rest.tolist()] if len(rest) else []
         lo, hi = [min(p) for p in pairs], [max(p) for p in pairs]
@@ -450,7 +456,7 @@ def link_groups(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
             apart = rows.join(facts.select("node", "part"), "node").groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gid")
             rows = rows.join(apart, "gid", "left_semi")
 
-        done = materialise(rows.join(facts, "node").groupBy("gid").applyInArrow(_comparer(centres), TURN), "jaccard-turn")
+        done = materialise(rows.join(facts, "node").groupBy("gid").applyInArrow(_comparer(centres, turn == 0), TURN), "jaccard-turn")
         pairs = done.where("a IS NOT NULL").select("a", "b")
         if turn == 0:  # each set is first verified with the one that it meets most often
             both = pairs.select("a", "b", F.col("a").alias("of")).union(pairs.select("a", "b", F.col("b").alias("of")))
@@ -461,10 +467,9 @@ def link_groups(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
         links = found if links is None else links.unionByName(found)
         # A checked number of links is joined in one task; beyond it, by rounds over all.
         parts = (local_components if links.count() <= LOCAL_EDGES else connected_components)(links)
-        if turn > 0:  # the centres have met everybody; the rest of the group goes on
-            left = done.where("nodes IS NOT NULL").select("gid", "nodes")
-            if not left.limit(1).count():
-                break
+        left = done.where("nodes IS NOT NULL").select("gid", "nodes")  # whose members have not all met
+        if not left.limit(1).count():
+            break
     return links if links is not None else spark.createDataFrame([], "a long, b long"), parts
 
 
