@@ -28,7 +28,21 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over five-word shingles, Jaccard 0.75 or more."""
     from boardlens.llm import jaccard
 
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, o.b FROM reach r JOIN both_ways o ON o.a = r.m)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(m) AS component_id FROM s JOIN reach ON n = s.doc_id GROUP BY ALL
+"""
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op2_jaccard": OP2_SQL, "op10_warc": OP10_SQL}
