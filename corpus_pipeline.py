@@ -2,13 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. Texts that are null count as empty and
-stay; rows that repeat are decided alike; keys that are null are never dropped
-for another row's sake.
+stay. A decision holds for a doc_id and its text (by its 64-bit hash), so rows
+that repeat both are decided alike, and rows that share a doc_id only are not.
+Rows whose doc_id is null are decided by their texts; among near-duplicates each
+is a document of its own, after all that have a doc_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import decontaminate, jaccard, packing, secrets, token_pieces, toxicity
@@ -30,20 +32,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("toxicity") < 0.5).select(*COLUMNS)
 
 
+def _same_document(a: DataFrame, b: DataFrame) -> Column:
+    """Equal doc_id (null with null) and equal text hash ``mark``."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id (of equal ids, with the smallest hash)."""
     ensure_importable(spark)
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    copies = found.where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    rows = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-rows")
+    nameless = F.col("doc_id").isNull()
+    name = F.struct(nameless.alias("nameless"), "doc_id", F.xxhash64("text").alias("mark"), F.when(nameless, F.col("row")).alias("row"))
+    rows = rows.select(*COLUMNS, name.alias("name"))
+    found = jaccard.near_duplicates(rows.select("name", "text"), key="name")
+    copies = found.where("name <> component_id").select("name")
+    return rows.join(copies, "name", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     ensure_importable(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.find_overlaps(docs.select("doc_id", "text"), items).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
+    found = decontaminate.find_overlaps(rows.select(F.struct("doc_id", "mark").alias("name"), "text"), items, key="name")
+    leaks = found.select("name.doc_id", "name.mark").distinct()
+    return rows.join(leaks, _same_document(rows, leaks), "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +65,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.find_secrets(docs.select("doc_id", "source", "text", mark.alias("mark")))
     live = F.filter("secrets", lambda s: s["verdict"] == "live")
     marked = found.select("doc_id", "mark", live.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "mark"])
-    rows = docs.select(*COLUMNS, mark.alias("mark")).join(marked, ["doc_id", "mark"], "left")
+    rows = docs.select(*COLUMNS, mark.alias("mark"))
+    rows = rows.join(marked, _same_document(rows, marked), "left").select(*[rows[c] for c in COLUMNS], "spans")
 
     def step(acc, s):
         after = s["start"] >= acc["pos"]

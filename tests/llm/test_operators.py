@@ -275,3 +275,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert sec[202].startswith(cp.MASK) and "Zx81kQp2Lm" not in sec[202] and {k: v for k, v in sec.items() if k != 202} == {k: v for k, v in leak.items() if k != 202}
     packed = cp.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == set(sec)
+
+
+def test_pipeline_stages_on_null_and_repeated_keys(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(16)
+    item, schema = prose(rng, 30), "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c, d, e, f = (prose(rng, 90) for _ in range(6))
+    near = " ".join([*d.split()[:-1], "other"])
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+    def left(stage, rows):
+        out = stage(spark, spark.createDataFrame([(i, t, "en", "s1", 1) for i, t in rows], schema).repartition(3), sf)
+        assert out.columns == cp.COLUMNS
+        return Counter((r["doc_id"], r["text"]) for r in out.collect())
+
+    # Copies without a key fall, also of one another; rows that repeat stay; of one key with two texts only the copy falls.
+    rows = [(1, a), (None, a), (None, a), (2, b), (2, b), (5, a), (5, c), (None, d), (None, d), (None, near), (7, e), (7, " ".join([*e.split()[:-1], "other"])), (None, None), (None, None), (None, ""), (None, f)]
+    got = left(cp.drop_near_duplicates, rows)
+    groups = ([(None, d), (None, near)], [r for r in rows if r[0] == 7])
+    assert [sum(got[r] for r in g) for g in groups] == [1, 1]
+    assert got - Counter({r: got[r] for g in groups for r in g}) == Counter([(1, a), (2, b), (2, b), (5, c), (None, None), (None, None), (None, ""), (None, f)])
+
+    leak = a + " " + item
+    assert left(cp.drop_contaminated, [(None, leak), (None, b), (3, leak), (3, c), (3, leak), (None, None)]) == Counter([(None, b), (3, c), (None, None)])
+
+    live = "token = 'Zx81kQp2Lm' " + a
+    assert left(cp.mask_secrets, [(None, live), (None, b), (4, live), (4, c), (None, None)]) == Counter([(None, cp.MASK + "' " + a), (None, b), (4, cp.MASK + "' " + a), (4, c), (None, None)])
+    for stage in (cp.drop_near_duplicates, cp.drop_contaminated, cp.mask_secrets):
+        assert not left(stage, [])
