@@ -6,7 +6,10 @@ aggregated over the whole corpus by distinct repositories and owners: a value
 that many owners hold is a copied example, one that a single owner or two hold
 looks like a live credential of theirs. A bare string elsewhere whose hash is
 that of such a credential is a span of its own kind (``reuse``), so a leak is
-found even where nothing around it says so.
+found even where nothing around it says so. A private key's span reaches from
+its header to its END line (or the end of its body), and its value is the body
+without white space and fields, so keys count apart and a copy that is wrapped
+otherwise counts with its original.
 
 Places are code points, end exclusive; of one kind, spans are leftmost and do
 not overlap. Spark gives no match offsets, so they are the running lengths of
@@ -29,6 +32,16 @@ from boardlens.llm import shared
 KINDS = ("assign", "access", "hex", "format", "reuse")
 BASE_KINDS = 3
 
+# A private key: header, then all up to its END line; without one, RFC 1421 fields and base64 lines (line ends may be escaped).
+_LINE = r"(?:\s|\\[nrt])*+"
+_KEY_HEAD, _KEY_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+_KEY_BODY = rf"(?:{_LINE}[A-Z][A-Za-z-]*:\x20[^\r\n\\]*+){{0,8}}+(?:{_LINE}[A-Za-z0-9+/]{{24,}}+={{0,2}}+){{0,1024}}+(?:{_LINE}[A-Za-z0-9+/]{{1,23}}+={{0,2}}+(?=\x20*(?:[\r\n\\\"']|\z)))?+"
+_KEY = rf"{_KEY_HEAD}(?:[^-]{{0,32768}}+(?:-{{1,4}}+(?!-)[^-]{{0,32768}}+){{0,64}}+{_KEY_END}|{_KEY_BODY})"
+#: What a key's value leaves out: its first and last line, fields, and all that is no base64.
+_NO_KEY = rf"{_KEY_HEAD}|{_KEY_END}|(?<![A-Za-z-])[A-Z][A-Za-z-]*:\x20[^\r\n\\]*|\\[nrt]|[^A-Za-z0-9+/=]"
+#: Base64 runs so long hold placeholder words by chance; with so many distinct characters they are none.
+KEY_CHARACTERS, KEY_DISTINCT = 64, 24
+
 # The patterns, their value group, the least length of that group, and a cheaper test of a text.
 _WORDS = r"password|passwd|secret|token|api_?key"
 PATTERNS = {
@@ -36,7 +49,7 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
     "hex": (r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
     "format": (
-        r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|-----BEGIN [A-Z ]*PRIVATE KEY-----",
+        r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|" + _KEY,
         0,
         0,
         r"gh[pousr]_|xox[abprs]-|AIza|[sr]k_(?:live|test)_|eyJ[A-Za-z0-9_-]{8}|-----BEGIN ",
@@ -52,6 +65,12 @@ EXAMPLE_OWNERS = 3
 LIVE_CHARACTERS = 6
 
 
+def _value(match: Column) -> Column:
+    """What is hashed of a match: of a private key its body (the header alone, if it has none)."""
+    body = F.regexp_replace(match, _NO_KEY, "")
+    return F.when(match.startswith("-----BEGIN ") & (body != ""), body).otherwise(match)
+
+
 def find_spans(text: Column, kind: str) -> Column:
     """array<struct<start, end, kind, value>> of one kind in a text (null for a null text)."""
     pattern, group, least, test = PATTERNS[kind]
@@ -66,7 +85,7 @@ def find_spans(text: Column, kind: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["value"].alias("value"))
+        one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), (_value(x["value"]) if kind == "format" else x["value"]).alias("value"))
         out = F.when(x["match"].isNotNull() & (F.length(x["value"]) >= least), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(end.alias("pos"), out.cast(spans).alias("out"))
 
@@ -79,6 +98,12 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``_sc_spans`` of all kinds (value as its hash) and ``_sc_row``."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     every = F.concat(*[find_spans(t, k) for k in KINDS])
+
+    def shape(value: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.split(value, "")))
+        body = value.rlike(rf"^[A-Za-z0-9+/=]{{{KEY_CHARACTERS},}}$") & (distinct >= KEY_DISTINCT)
+        return (distinct >= LIVE_CHARACTERS) & (body | ~value.rlike(PLACEHOLDER))
+
     hashed = F.transform(
         every,
         lambda s: F.struct(
@@ -86,7 +111,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
             s["kind"].alias("kind"),
             s["end"].alias("end"),
             F.sha2(s["value"], 256).alias("hash"),
-            ((F.size(F.array_distinct(F.split(s["value"], ""))) >= LIVE_CHARACTERS) & ~s["value"].rlike(PLACEHOLDER)).alias("shape"),
+            shape(s["value"]).alias("shape"),
         ),
     )
     keep = [c for c in docs.columns if c != text]
