@@ -5,7 +5,8 @@ bounded sample), so K centroids a half make K*K cells. Every row is indexed. A
 query walks the centroid pairs by rising sum of its two squared distances, with
 a heap, until the cells passed hold enough entries; the sum reached there is its
 radius. All entries of cells within the radius are reranked by exact distance in
-double precision.
+double precision. The cells go along with the query as bits: sums computed anew
+would be rounded otherwise, and the last cell may lie exactly on the radius.
 
 How many entries are enough is measured, not guessed: a bounded sample of the
 queries is searched exactly and the budget is set so that their neighbours are
@@ -182,29 +183,28 @@ def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
             out: list[list] = [[], [], [], []]
             for i in range(len(x)):
                 r = radius(d1[i], d2[i], counts, budget)
-                for c in np.flatnonzero((d1[i] + d2[i].min() <= r) & (counts.sum(1) > 0)).tolist():
+                within = np.packbits(d1[i][:, None] + d2[i] <= r, axis=1)
+                for c in np.flatnonzero(within.any(1) & (counts.sum(1) > 0)).tolist():
                     for s in range(int(slices[c])):
-                        for col, val in zip(out, (i, c, s, r), strict=True):
+                        for col, val in zip(out, (i, c, s, within[c].tobytes()), strict=True):
                             col.append(val)
             at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float64())], names=["id", "v", "c1", "slice", "r"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["id", "v", "c1", "slice", "cells"])
 
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
-    aimed = queries.repartition(min(64, max(1, n_queries // 64)), "id").mapInArrow(aim, "id long, v array<double>, c1 int, slice int, r double").select("*", block)
+    aimed = queries.repartition(min(64, max(1, n_queries // 64)), "id").mapInArrow(aim, "id long, v array<double>, c1 int, slice int, cells binary").select("*", block)
     of = F.create_map(*[F.lit(x) for c, s in enumerate(slices.tolist()) for x in (c, int(s))])
     entries = index.withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), of[F.col("c1")]).cast("int"))
     entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        b1, b2 = books.value
         found: list[list[np.ndarray]] = [[], [], []]
         if len(left) and len(right):
             x, ids, c2 = _matrix(left["v"]), np.asarray(left["id"]), np.asarray(left["c2"])
-            q, q_ids, r = _matrix(right["v"]), np.asarray(right["id"]), np.asarray(right["r"])
-            c1 = left["c1"][0].as_py()
-            d1, d2 = squared_distances(q[:, :half], b1)[:, c1], squared_distances(q[:, half:], b2)
+            q, q_ids, cells = _matrix(right["v"]), np.asarray(right["id"]), right["cells"].to_pylist()
             for i in range(len(q)):
-                at = np.flatnonzero((d1[i] + d2[i] <= r[i])[c2] & (ids != q_ids[i]))
+                within = np.unpackbits(np.frombuffer(cells[i], np.uint8)).view(bool)
+                at = np.flatnonzero(within[c2] & (ids != q_ids[i]))
                 if len(at):
                     diff = x[at] - q[i]
                     dist = np.sqrt((diff * diff).sum(1))

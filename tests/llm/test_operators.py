@@ -210,6 +210,21 @@ def test_nearest_neighbours(spark):
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
+def test_nearest_neighbours_under_rounding(spark, monkeypatch):
+    exactly = ann.squared_distances
+
+    def rounded(x, c):  # as if the products were rounded by the shape of their matrices
+        return exactly(x, c) + (len(x) * 37 % 101) * 1e-12
+
+    monkeypatch.setattr(ann, "squared_distances", rounded)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8))
+    x[:300] = x[0]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = Counter(r["query_id"] for r in ann.search(d, F.col("id") < 300, k=10).collect())
+    assert got == Counter({i: 10 for i in range(300)})
+
+
 def test_secrets(spark):
     own = "q8Zr4Tn2Wx7Lp9Vb"
     texts = [
