@@ -97,7 +97,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Training a classifier is beyond SQL; the tests hold each stage against a brute-force version.
+#: Training a classifier is beyond SQL. The tests hold the stages against planted rows, not against a brute-force version;
+#: near duplicates, decontamination and secrets also with null and repeated keys and on empty tables (packing: doc_ids only).
 ORACLE_SQL = None
 
 
