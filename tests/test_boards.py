@@ -501,3 +501,28 @@ def test_components_in_one_task(spark):
     rows = lambda x: {r["node"]: r["component"] for r in x.collect()}
     assert rows(components.local_components(df)) == rows(components.connected_components(df))
     assert rows(components.local_components(df.limit(0))) == {}
+
+
+@pytest.mark.parametrize("local", [components.LOCAL_EDGES, 50])
+def test_components_by_board(spark, monkeypatch, local):
+    import random
+
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    rng = random.Random(5)
+    edges = [(b, f"{rng.randrange(n)}", f"{rng.randrange(n)}") for b, n in (("a", 300), ("b", 20), ("c", 80)) for _ in range(n // 2)]
+    edges += [("a", "x", "x"), ("b", None, "3"), ("a", "0", "1"), ("a", "0", "1")]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b, u, v in edges:
+        if u is not None:
+            parent[max(find((b, u)), find((b, v)))] = min(find((b, u)), find((b, v)))
+    df = spark.createDataFrame(edges, "board string, a string, b string")
+    got = {(r["board"], r["node"]): (r["board"], r["component"]) for r in components.connected_components(df, keys=("board",)).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert components.connected_components(df.limit(0), keys=("board",)).count() == 0
