@@ -7,6 +7,11 @@ bounds touch (disc and box both, on boards with a rotated node), joined by cell,
 and a pair is tested in the first cell that both touch only, so no distinct is
 needed. Nodes over more than ``max_cells`` cells, few by nature, are compared
 with their whole board.
+
+Single linkage does not need all near pairs, whose number grows with the square
+of a board's density. Nodes that touch one fine cell, whose diagonal is less
+than the gap, are near, so a cell joins all its nodes by a star; only nodes in
+different parts after that are paired, in the cells where such nodes meet.
 """
 
 from __future__ import annotations
@@ -22,6 +27,9 @@ from boardlens.sources.scratch import materialise
 DEFAULT_GAP, MIN_NODES, STRIDE_TARGET, MIN_GAP, FACTOR, LEAST, MOST = 160.0, 12, 150, 0.5, 3.0, 96.0, 320.0
 MAX_CLUSTER, MAX_CELLS, MIN_CELL, ROTATED = 250, 4096, 128.0, 1e-6
 
+#: Side of a fine cell by the gap (its diagonal is 0.99 gaps), and fine cells that a node's star takes at most (a node over more is left to the pairs).
+FINE, FINE_CELLS = 0.7, 64
+
 
 def check_geometry(nodes: DataFrame) -> DataFrame:
     """``nodes`` with rows that fail at run time where a size is negative or a number not finite."""
@@ -58,31 +66,89 @@ def footprint_gap(a: str, b: str) -> Column:
 _SHAPE = ("id", "ord", "x", "y", "width", "height", "cx", "cy", "radius", "rotated")
 
 
-def near_pairs(nodes: DataFrame, *, gap: Column | float = DEFAULT_GAP, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(board_id, a, b) of the pairs within ``gap`` (a number, or a column of ``nodes``), a before b in board order."""
-    validate.positive_integer("max_cells", max_cells)
+def _with_discs(nodes: DataFrame, gap: Column | float) -> DataFrame:
+    """Footprints with ``gap`` and ``discs`` (whether the board has a rotated node)."""
     g = gap if isinstance(gap, Column) else F.lit(validate.gap(gap))
-    any_rotated = F.max(F.col("rotated").cast("int")).over(Window.partitionBy("board_id")) > 0
-    f = footprints(nodes).withColumn("gap", g).withColumn("discs", any_rotated)
+    f = footprints(nodes).withColumn("gap", g)
+    return f.join(f.groupBy("board_id").agg(F.max("rotated").alias("discs")), "board_id")
+
+
+def near_pairs(nodes: DataFrame, *, gap: Column | float = DEFAULT_GAP, max_cells: int = MAX_CELLS, apart: str | None = None) -> DataFrame:
+    """(board_id, a, b) of the pairs within ``gap`` (a number, or a column of ``nodes``), a before b in board order.
+
+    ``apart``: a column that tells nodes known to be joined; only pairs that
+    differ in it are sought, and a and b are its values.
+    """
+    validate.positive_integer("max_cells", max_cells)
+    f = _with_discs(nodes, gap)
     cell = F.greatest(F.lit(MIN_CELL), F.col("gap"))
     half = F.col("gap") / 2
     low = lambda c, m: F.when(F.col("discs"), F.least(F.col(c), F.col(m) - F.col("radius"))).otherwise(F.col(c)) - half
     high = lambda c, s, m: F.when(F.col("discs"), F.greatest(F.col(c) + F.col(s), F.col(m) + F.col("radius"))).otherwise(F.col(c) + F.col(s)) + half
     f = f.withColumns({"x0": F.floor(low("x", "cx") / cell), "y0": F.floor(low("y", "cy") / cell), "x1": F.floor(high("x", "width", "cx") / cell), "y1": F.floor(high("y", "height", "cy") / cell)})
     cells = (F.col("x1") - F.col("x0") + 1).cast("double") * (F.col("y1") - F.col("y0") + 1).cast("double")
-    f = f.select("board_id", "gap", F.struct(*_SHAPE).alias("n"), "x0", "y0", "x1", "y1", (cells > max_cells).alias("wide"))
+    name = apart or "id"
+    f = f.select("board_id", "gap", *_SHAPE[1:], F.col(name).alias("name"), "x0", "y0", "x1", "y1", (cells > max_cells).alias("wide"))
+    shape = F.struct(*_SHAPE[1:], "name")  # made after rows are dealt out
     small = f.where(~F.col("wide"))
     dealt = small.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1")))
-    a = dealt.select("board_id", "gap", "gx", "gy", F.col("n").alias("a"), F.col("x0").alias("ax"), F.col("y0").alias("ay"))
-    b = dealt.select("board_id", "gx", "gy", F.col("n").alias("b"), F.col("x0").alias("bx"), F.col("y0").alias("by"))
+    other = F.expr("a.ord < b.ord")
+    if apart:
+        other = F.expr("a.name < b.name")
+        mixed = dealt.groupBy("board_id", "gx", "gy").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q")
+        # Written first: few cells are mixed as a rule, and of a table the planner knows whether it is small enough to be sent to all.
+        mixed = materialise(mixed.select("board_id", "gx", "gy"), "mixed-cells")
+        dealt = dealt.join(mixed, ["board_id", "gx", "gy"], "left_semi")
+    a = dealt.select("board_id", "gap", "gx", "gy", shape.alias("a"), F.col("x0").alias("ax"), F.col("y0").alias("ay"))
+    b = dealt.select("board_id", "gx", "gy", shape.alias("b"), F.col("x0").alias("bx"), F.col("y0").alias("by"))
     close = footprint_gap("a", "b") <= F.col("gap")
     first_cell = (F.col("gx") == F.greatest("ax", "bx")) & (F.col("gy") == F.greatest("ay", "by"))
-    met = a.join(b, ["board_id", "gx", "gy"]).where(F.expr("a.ord < b.ord") & first_cell & close)
-    wide = f.where("wide").select("board_id", "gap", F.col("n").alias("w"))
-    rest = f.select("board_id", F.col("n").alias("o"), F.col("wide").alias("o_wide"))
-    over = wide.join(rest, "board_id").where("w.ord <> o.ord AND (NOT o_wide OR w.ord < o.ord)")
+    met = a.join(b, ["board_id", "gx", "gy"]).where(other & first_cell & close)
+    wide = f.where("wide").select("board_id", "gap", shape.alias("w"))
+    rest = f.select("board_id", shape.alias("o"), F.col("wide").alias("o_wide"))
+    over = wide.join(rest, "board_id").where("w.ord <> o.ord AND w.name <> o.name AND (NOT o_wide OR w.ord < o.ord)")
     over = over.select("board_id", "gap", F.expr("IF(w.ord < o.ord, w, o)").alias("a"), F.expr("IF(w.ord < o.ord, o, w)").alias("b")).where(close)
-    return met.select("board_id", "a", "b").unionByName(over.select("board_id", "a", "b")).select("board_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return met.select("board_id", "a", "b").unionByName(over.select("board_id", "a", "b")).select("board_id", F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+
+
+def cell_stars(nodes: DataFrame, *, gap: Column | float = DEFAULT_GAP) -> DataFrame:
+    """(board_id, a, b) of some near pairs that join all nodes touching a fine cell: one pair for a node and cell.
+
+    A cell joins its boxes that are not rotated, and, where a rotated node's disc
+    touches it, all nodes whose discs do (one of them rotated makes a pair's gap
+    that of the discs).
+    """
+    f = _with_discs(nodes, gap).where("gap > 0").withColumn("side", F.lit(FINE) * F.col("gap"))
+    at = lambda c: F.floor(c / F.col("side"))
+
+    def dealt(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+        rows = rows.withColumns({"x0": at(x0), "y0": at(y0), "x1": at(x1), "y1": at(y1)})
+        few = (F.col("x1") - F.col("x0") + 1).cast("double") * (F.col("y1") - F.col("y0") + 1).cast("double") <= FINE_CELLS
+        return rows.where(few).withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1")))
+
+    r = F.col("radius")
+    boxes = dealt(f.where(~F.col("rotated")), F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height"))
+    discs = dealt(f.where("discs"), F.col("cx") - r, F.col("cy") - r, F.col("cx") + r, F.col("cy") + r)
+    side = F.col("side")
+    off = lambda c, g: F.greatest(F.lit(0.0), F.col(g) * side - F.col(c), F.col(c) - (F.col(g) + 1) * side)
+    discs = discs.where(F.hypot(off("cx", "gx"), off("cy", "gy")) <= r)
+    rows = boxes.select("board_id", F.lit(0).alias("kind"), "gx", "gy", "id", F.lit(True).alias("heads")).unionByName(discs.select("board_id", F.lit(1).alias("kind"), "gx", "gy", "id", F.col("rotated").alias("heads")))
+    cell = ["board_id", "kind", "gx", "gy"]
+    head = rows.where("heads").groupBy(*cell).agg(F.min("id").alias("head"))
+    return rows.join(head, cell).where("id <> head").select("board_id", F.col("id").alias("a"), F.col("head").alias("b"))
+
+
+def single_linkage(nodes: DataFrame, *, gap: Column | float = DEFAULT_GAP, max_cells: int = MAX_CELLS) -> DataFrame:
+    """``nodes`` with ``part``: the smallest id that steps of near pairs lead to."""
+
+    def joined(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        found = connected_components(pairs, keys=("board_id",)).select("board_id", F.col("node").alias(name), "component")
+        return rows.join(found, ["board_id", name], "left").withColumn("part", F.coalesce("component", name)).drop("component")
+
+    starred = joined(nodes, cell_stars(nodes, gap=gap), "id")
+    starred = materialise(starred.select(*nodes.columns, "part"), "linkage")
+    rest = near_pairs(starred, gap=gap, max_cells=max_cells, apart="part").distinct()
+    return joined(starred.withColumnRenamed("part", "star"), rest, "star").select(*nodes.columns, "part")
 
 
 def adaptive_gap(nodes: DataFrame) -> DataFrame:
@@ -146,10 +212,7 @@ def cluster(nodes: DataFrame, *, gap: float | None = None, adaptive: bool = Fals
     """Clusters of all boards: single linkage within the gap, large ones bisected, numbered in reading order."""
     nodes = check_geometry(nodes)
     if adaptive and gap is None:
-        with_gap = nodes.join(adaptive_gap(nodes), "board_id")
-        pairs = near_pairs(with_gap, gap=F.col("gap"), max_cells=max_cells)
+        members = single_linkage(nodes.join(adaptive_gap(nodes), "board_id"), gap=F.col("gap"), max_cells=max_cells).drop("gap")
     else:
-        pairs = near_pairs(nodes, gap=DEFAULT_GAP if gap is None else gap, max_cells=max_cells)
-    parts = connected_components(pairs, keys=("board_id",)).select("board_id", F.col("node").alias("id"), F.col("component").alias("part"))
-    members = nodes.join(parts, ["board_id", "id"], "left").withColumn("part", F.coalesce("part", "id"))
+        members = single_linkage(nodes, gap=DEFAULT_GAP if gap is None else gap, max_cells=max_cells)
     return cluster_boxes(bisect(members, max_size=max_size))

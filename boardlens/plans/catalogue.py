@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardlens.functions import text as T
-from boardlens.operators import components, diff, graph, history, phases, refine, retrieve, spatial, tree
+from boardlens.operators import diff, graph, history, phases, refine, retrieve, spatial, tree
 
 QUESTION = "there enan there ation"
 TOPICS = ("enan", "zzqq")
@@ -223,10 +223,7 @@ PAIRS = f"WITH {_NODES} SELECT board_id, a, b FROM pairs"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _part_nodes(spark, sf_dir)
-    found = components.connected_components(spatial.near_pairs(nodes, gap=160), keys=("board_id",))
-    found = found.select("board_id", F.col("node").alias("id"), F.col("component").alias("part"))
-    return nodes.join(found, ["board_id", "id"], "left").withColumn("part", F.coalesce("part", "id"))
+    return spatial.single_linkage(_part_nodes(spark, sf_dir), gap=160)
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
