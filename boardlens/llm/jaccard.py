@@ -57,8 +57,10 @@ PERCENT = 75
 SPARE = 1.15
 #: Texts that common members are counted in, and in how many of them one is common.
 SAMPLE_TEXTS, COMMON_IN, MAX_COMMON = 4_000, 4, 1 << 16
-#: Signatures that a task holds before it hands them on, and that a part has about.
-FLUSH_ROWS, PART_ROWS = 1 << 21, 1 << 22
+#: Signatures that a task holds before it hands them on, and that a part has about (a set has about one for each member).
+FLUSH_ROWS, PART_ROWS = 1 << 18, 1 << 19
+#: Partitions that the parts are dealt to at most.
+MAX_PARTITIONS = 1 << 14
 BLOOM_BITS = 1 << 26
 
 
@@ -302,7 +304,7 @@ def candidate_groups(docs: DataFrame, n_docs: int, members: int) -> DataFrame:
         return pa.table({"gid": _signed(gid), "nodes": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), _signed(nodes))})
 
     blobs = docs.select("t").mapInArrow(index, "part int, blob binary")
-    found = blobs.repartition(1 << bits, "part").groupBy("part").applyInArrow(match, "gid long, nodes array<long>")
+    found = blobs.repartition(min(1 << bits, MAX_PARTITIONS), "part").groupBy("part").applyInArrow(match, "gid long, nodes array<long>")
     return found.groupBy("gid").agg(F.first("nodes").alias("nodes"))
 
 
@@ -335,10 +337,11 @@ def _members(docs: DataFrame, groups: DataFrame) -> DataFrame:
     wanted = groups.select(F.explode("nodes").alias("node")).distinct()
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(BLOOM_BITS, bool)
+        packed = np.zeros(BLOOM_BITS // 8, np.uint8)
         for batch in batches:
-            slots[(np.asarray(batch.column(0)).view(U64) >> U64(38)).astype(np.int64)] = True
-        packed = np.packbits(slots).reshape(64, -1)
+            at = (np.asarray(batch.column(0)).view(U64) >> U64(38)).astype(np.int64)
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = packed.reshape(64, -1)
         at = [i for i in range(64) if packed[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([packed[i].tobytes() for i in at], pa.binary())], names=["s", "bits"])
 

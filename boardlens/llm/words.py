@@ -43,12 +43,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def _polynomial(data: np.ndarray) -> np.ndarray:
+    """The polynomial over the bytes before each place."""
+    prefix = np.zeros(len(data) + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * _powers("up", len(data)), out=prefix[1:])
+    return prefix
+
+
 def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit keys of the byte ranges [start, end) of ``data``."""
-    n = len(data)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _powers("up", n), out=prefix[1:])
-    raw = (prefix[end] - prefix[start]) * _powers("down", n + 1)[start]
+    """64-bit keys of the byte ranges [start, end) of ``data``, in ascending order.
+
+    Taken by runs of ranges that lie within ``CHUNK_BYTES``, and a longer range
+    by parts, so that one long text needs no more than many short ones.
+    """
+    raw = np.zeros(len(start), U64)
+    first = 0
+    while first < len(start):
+        low = int(start[first])
+        last = max(first + 1, int(np.searchsorted(end, low + CHUNK_BYTES, side="right")))
+        if int(end[last - 1]) - low <= CHUNK_BYTES:
+            prefix = _polynomial(data[low : int(end[last - 1])])
+            s, e = start[first:last] - low, end[first:last] - low
+            raw[first:last] = (prefix[e] - prefix[s]) * _powers("down", len(prefix))[s]
+        else:
+            for at in range(low, int(end[first]), CHUNK_BYTES):
+                part = _polynomial(data[at : min(at + CHUNK_BYTES, int(end[first]))])[-1]
+                raw[first] += part * U64(pow(_BASE, at - low, 1 << 64))
+        first = last
     return mix(raw + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
 
 
