@@ -8,7 +8,15 @@ from __future__ import annotations
 
 from boardlens.sources.scratch import drop_dir, drop_table, materialise, new_dir
 
-__all__ = ["drop_dir", "drop_table", "materialise", "new_dir", "open_fs", "read_bytes", "write_bytes"]
+__all__ = ["drop_dir", "drop_table", "free_name", "materialise", "new_dir", "open_fs", "read_bytes", "write_bytes"]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it none of ``columns`` (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def open_fs(uri: str):

@@ -1,20 +1,25 @@
 """Toxicity scores from a character n-gram classifier with naive Bayes feature scaling.
 
 Every character n-gram (code points, lower case, white space as one kind of
-space) is hashed into 2**HASH_BITS features. On labelled texts the features'
-document counts in both classes give naive Bayes log-count ratios; the features
-whose class shares differ most clearly are kept, each occurrence is scaled by
-its ratio, and a logistic regression is fitted to the scaled counts. Scoring
-adds up the weights of all n-grams of the whole text.
+space) is hashed into 2**HASH_BITS features; a text has a feature or not, however
+often. On labelled texts the features' document counts in both classes give
+naive Bayes log-count ratios; the features whose class shares differ most clearly
+are kept, each is scaled by its ratio, and a logistic regression with a penalty
+on squared weights is fitted to the scaled features, which are not standardised
+after that: the ratios decide how much a feature may say. Scoring adds up the
+weights of all features of the whole text, taken by windows.
 
 The fit uses at most ``max_rows`` labelled texts (those with the smallest key
 hashes, so the same ones each time); everything else covers all rows. The driver
 holds three arrays of the features' number and the kept features of those texts.
 
-Nulls and odd rows: a null or empty text scores what the intercept gives;
-labels without a document, or null, are not learned from; a key labelled twice
-counts once, as toxic if any label says so; without labels of both classes
-every score is the share of toxic labels (0.5 if there are none).
+Nulls and odd rows: a null or empty text scores what the intercept and its two
+spaces give; labels without a document, with a null key or null are not learned
+from; a null key is scored like any other; a key labelled twice counts once, as
+toxic if any label says so; rows that repeat are scored alike (and learned from
+as often as they occur); without labels of both classes every score is the share
+of toxic labels (0.5 if there are none); an empty table gives an empty result;
+columns may have any names, one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from boardlens.llm.shared import free_name
 
 HASH_BITS = 20
 ORDERS = (3, 4, 5, 6, 7)
@@ -35,20 +43,38 @@ MAX_ROWS = 8_000
 MAX_FEATURES = 2_000
 #: Documents of both classes in which a kept feature occurs at least, and its least z-score.
 MIN_DOCS, MIN_Z = 5, 5.0
+#: Penalty of the squared weights of the scaled features.
+L2 = 1e-3
+
+
+def _windows(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
+    """(first row, end row, whether these rows end here, code points, place of each row's end mark).
+
+    Texts beyond ``limit`` code points come alone, in windows that overlap by
+    the longest n-gram less one.
+    """
 
+    def coded(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer("\0".join([*held, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        points[(points > 0) & (points < 33)] = 32
+        return points, np.flatnonzero(points == 0)
 
-def _chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, code points, place of each row's end mark)."""
-    texts = column.to_pylist()
     first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        held.append((t or "").replace("\0", " ").lower())
-        size += len(held[-1])
-        if size >= limit or i + 1 == len(texts):
-            points = np.frombuffer((" " + "\0 ".join(held) + "\0").replace("\0", " \0").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-            points[(points > 0) & (points < 33)] = 32
-            yield first, i + 1, points, np.flatnonzero(points == 0)
-            first, held, size = i + 1, [], 0
+    for i in range(len(column)):
+        t = " " + (column[i].as_py() or "").replace("\0", " ") + " "
+        if held and size + len(t) > limit:
+            yield first, i, True, *coded(held)
+            held, size = [], 0
+        if len(t) > limit:
+            for a in range(0, len(t), limit):
+                yield i, i + 1, a + limit >= len(t), *coded([t[a : a + limit + max(ORDERS) - 1].lower()])
+            continue
+        if not held:
+            first = i
+        held.append(t.lower())
+        size += len(t)
+    if held:
+        yield first, len(column), True, *coded(held)
 
 
 def _features(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,20 +91,20 @@ def _features(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (x >> np.uint64(64 - HASH_BITS)).astype(np.int64), inside
 
 
-def _sparse(column: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, features, counts) of each text; of ``wanted`` features only, if given."""
-    for first, end, points, marks in _chunks(column):
-        rows, feats = [], []
+def present(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, row less the first, feature) of the distinct features of each text; of ``wanted`` ones only, if given."""
+    open_text: np.ndarray | None = None
+    for first, end, ended, points, marks in _windows(column):
+        keys = []
         for f, inside in _features(points):
             at = np.flatnonzero(inside if wanted is None else inside & wanted[f])
-            rows.append(np.searchsorted(marks, at))
-            feats.append(f[at])
-        key = np.concatenate(rows or [np.zeros(0, np.int64)]) << HASH_BITS | np.concatenate(feats or [np.zeros(0, np.int64)])
-        key, count = np.unique(key, return_counts=True)
-        cut = np.searchsorted(key >> HASH_BITS, np.arange(end - first + 1))
-        for i in range(end - first):
-            k = slice(cut[i], cut[i + 1])
-            yield first + i, key[k] & ((1 << HASH_BITS) - 1), count[k]
+            keys.append(np.searchsorted(marks, at) << HASH_BITS | f[at])
+        found = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]))
+        if open_text is not None:
+            found = np.union1d(open_text, found)
+        open_text = None if ended else found
+        if ended:
+            yield first, end, found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
 
 
 @dataclass
@@ -90,12 +116,9 @@ class Model:
 
     def log_odds(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
-        for first, end, points, marks in _chunks(column):
-            total = np.zeros(len(points) + 1)
-            for f, inside in _features(points):
-                total[: len(f)] += self.weight[f] * inside
-            upto = np.concatenate([[0.0], np.cumsum(total)])
-            out[first:end] += np.diff(upto[np.concatenate([[0], marks + 1])])
+        wanted = self.weight != 0
+        for first, end, row, feature in present(column, wanted):
+            out[first:end] += np.bincount(row, weights=self.weight[feature], minlength=end - first)
         return out
 
 
@@ -113,24 +136,26 @@ def _choose(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.sort(top[z[top] > 0])
 
 
-def _logistic(x, y: np.ndarray, l2: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient steps on dense standardised columns."""
-    scale = np.sqrt((x * x).mean(0)) + 1e-9
-    x = (x / scale).astype(np.float32)
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = L2, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the mean log loss plus l2/2 of the squared weights, by accelerated gradient steps.
+
+    The columns are taken as they are: a column of larger values pays less for
+    its share in a score.
+    """
     n, m = x.shape
     w, b = np.zeros(m, x.dtype), float(np.log(y.mean() / (1 - y.mean())))
     v = np.ones(m, x.dtype)
     for _ in range(15):  # the largest curvature, by power iteration
-        v = x.T @ (x @ (v / np.linalg.norm(v)))
-    step = 4.0 / (1.2 * float(np.linalg.norm(v)) / n + l2 / n + 1)
+        v = x.T @ (x @ (v / max(float(np.linalg.norm(v)), 1e-30)))
+    step = 4.0 / (1.2 * float(np.linalg.norm(v)) / n + 4 * l2 + 1)
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):
         g = (1 / (1 + np.exp(-np.clip(x @ vw + vb, -40, 40))) - y).astype(x.dtype)
-        nw, nb = vw - np.float32(step) * (x.T @ g / n + l2 / n * vw), vb - step * float(g.mean())
+        nw, nb = vw - np.float32(step) * (x.T @ g / n + np.float32(l2) * vw), vb - step * float(g.mean())
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + np.float32((t - 1) / nt) * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    return w / scale, b
+    return w, b
 
 
 def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
@@ -151,8 +176,8 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label:
         for batch in batches:
             y = np.asarray(batch.column(1))
             np.add.at(seen, y, 1)
-            for i, feats, _ in _sparse(batch.column(0), None):
-                df[y[i], feats] += 1
+            for first, _, row, feature in present(batch.column(0)):
+                np.add.at(df, (y[first + row], feature), 1)
         if seen.any():
             parts = df.reshape(2, slices, -1).swapaxes(0, 1)
             yield pa.RecordBatch.from_pydict({"s": pa.array(range(slices), pa.int32()), "df": pa.array([p.tobytes() for p in parts], pa.binary()), "n0": pa.array([int(seen[0])] * slices, pa.int64()), "n1": pa.array([int(seen[1])] * slices, pa.int64())})
@@ -176,40 +201,44 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = list(_sparse(batch.column(0), shared_wanted.value))
-            yield pa.RecordBatch.from_pydict({"y": batch.column(1).cast(pa.int32()), "f": pa.array([f for _, f, _ in out], pa.list_(pa.int32())), "c": pa.array([c for _, _, c in out], pa.list_(pa.int32()))})
+            for first, end, row, feature in present(batch.column(0), shared_wanted.value):
+                cuts = pa.array(np.searchsorted(row, np.arange(end - first + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first).cast(pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(feature, pa.int32()))], names=["y", "f"])
 
-    data = sample.mapInArrow(kept, "y int, f array<int>, c array<int>").toArrow()
-    y = np.asarray(data["y"]).astype(float)
-    f, c = data["f"].combine_chunks(), data["c"].combine_chunks()
+    data = sample.mapInArrow(kept, "y int, f array<int>").toArrow()  # at most max_rows lists of MAX_FEATURES
+    y, f = np.asarray(data["y"]).astype(np.float32), data["f"].combine_chunks()
     where = np.repeat(np.arange(len(y)), np.diff(np.asarray(f.offsets)))
-    col = np.searchsorted(chosen, np.asarray(f.flatten()))
     x = np.zeros((len(y), len(chosen)), np.float32)
-    x[where, col] = np.asarray(c.flatten())
-    w, bias = _logistic(x * ratio[chosen].astype(np.float32), y)
+    col = np.searchsorted(chosen, np.asarray(f.flatten()))
+    x[where, col] = ratio[chosen].astype(np.float32)[col]
+    w, bias = logistic(x, y)
     weight[chosen] = w * ratio[chosen]
     return Model(weight, bias)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of toxicity of each whole text; other columns stay."""
+    """``docs`` with the probability of toxicity of each whole text as ``out`` (in place of a column of that name); other columns stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes a feature, whatever the input
-    keep = docs.columns
+    keep = [c for c in docs.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = held.value.log_odds(batch.column(len(keep)))
+            odds = held.value.log_odds(batch.column(at))
             p = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(p, pa.float64())], names=[*keep, out])
 
-    rows = docs.withColumn("_text", F.col(text).cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, f"{schema}, `{out}` double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    at = len(keep)
+    if text in keep and docs.schema[text].dataType == StringType():
+        at = keep.index(text)
+    else:
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(free_name(keep, "text")))
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField(out, DoubleType())]))
 
 
 def learnable(key: Column) -> Column:
-    """Keys whose labels a query may learn from: crc32 of the key's text mod 5 is not 0."""
-    return F.crc32(key.cast("string")) % 5 != 0
+    """Keys whose labels a query may learn from: crc32 of the key's text mod 5 is not 0 (a null key is one that has no such remainder)."""
+    return F.coalesce(F.crc32(key.cast("string")) % 5 != 0, F.lit(True))
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
