@@ -67,8 +67,8 @@ def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
             raw[first:last] = (prefix[e] - prefix[s]) * _powers("down", len(prefix))[s]
         else:
             for at in range(low, int(end[first]), CHUNK_BYTES):
-                part = _polynomial(data[at : min(at + CHUNK_BYTES, int(end[first]))])[-1]
-                raw[first] += part * U64(pow(_BASE, at - low, 1 << 64))
+                part = _polynomial(data[at : min(at + CHUNK_BYTES, int(end[first]))])[-1:]
+                raw[first : first + 1] += part * U64(pow(_BASE, at - low, 1 << 64))
         first = last
     return mix(raw + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
 

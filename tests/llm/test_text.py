@@ -101,6 +101,144 @@ def test_main_text_of_pages():
     assert htmltext.main_text("<article><p>open <b>end &am") == "open end &am"
 
 
+def test_figures_decide_where_names_say_nothing():
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(4))
+    prose = "<p>The text of the page is here and it is long enough to be decided at once by its words.</p>"
+    page = f"<body><div class=x1><ul>{links}</ul></div><div class=q>Buy it.</div><div class=z><h1>Head</h1>{prose}<p>Be.</p>{prose}<p>End.</p><div><a href=/r>Only one link here</a></div></div><div class=k>All of it, 1999</div></body>"
+    blocks = htmltext.cut_blocks(page)
+    htmltext.decide(blocks)
+    text = "The text of the page is here and it is long enough to be decided at once by its words."
+    assert [b.text for b in blocks if b.keep] == ["Head", text, "Be.", text, "End."]
+    assert {b.text: b.why for b in blocks if "Link" in b.text or b.text in (text, "Buy it.", "Be.")} == {f"Link {i}": "links" for i in range(4)} | {text: "prose", "Buy it.": "inherited", "Be.": "inherited"}
+    # In an article a list of links goes, with its heading; a paragraph that is one link stays.
+    page = f"<article>{prose}<p><a href=/x>The report</a></p>{prose}<h2>More</h2><ul>{links}</ul></article>"
+    assert htmltext.main_text(page) == f"{text}\nThe report\n{text}"
+    # A wrapper that sounds like a margin does not lose the article; comments as articles are none.
+    assert htmltext.main_text(f"<div class='layout with-sidebar'><article>{prose}</article></div>") == text
+    assert htmltext.main_text(f"<main>{prose}</main><div id=comments><article>{prose}</article></div>") == text
+    assert htmltext.main_text("<article><p>One.<p>Two.</article>") == "One.\nTwo."
+
+
+def test_block_passes_equal_their_restatement():
+    """Both passes said anew, block by block, over random blocks."""
+    rng = random.Random(8)
+    H = htmltext
+
+    def restated(blocks):
+        share = [b.link_chars / len(b.text) for b in blocks]
+
+        def figures(i):
+            b = blocks[i]
+            if b.region < 0:
+                return False
+            if share[i] > H.MAX_LINKS:
+                row = [j for j in (i - 1, i + 1) if 0 <= j < len(blocks) and blocks[j].region == b.region and share[j] > H.LIST_LINKS]
+                return False if b.region == 0 or share[i] > H.LIST_LINKS and row else None
+            if len(b.text) < H.LONG_CHARS:
+                return None
+            words = re.findall(r"[^\W\d_]+", b.text.lower())
+            stops = len([w for w in words if w in H.STOP_WORDS]) / len(words) if words else 0
+            return True if stops >= H.STOP_SHARE else False if stops < H.LOW_STOP_SHARE and b.region == 0 else None
+
+        one = [figures(i) for i in range(len(blocks))]
+
+        def inherits(i):
+            b = blocks[i]
+            scopes = [lambda o: o.region == b.region] if b.region > 0 else [lambda o, x=x: x in o.boxes for x in b.boxes] + [lambda o: True]
+            for n, within in enumerate(scopes):
+                at = [j for j in range(len(blocks)) if one[j] is not None and within(blocks[j])]
+                page = b.region == 0 and n == len(scopes) - 1
+                if not at and not page:
+                    continue
+                if page and not any(o.region > 0 for o in blocks) and True not in one:
+                    return True
+                after = [j for j in at if j > i]
+                if b.heading and after:
+                    return one[after[0]]
+                far = [(abs(i - j), one[j], blocks[j].tag) for j in at]
+                if page:
+                    far += [(i + 1, False, "")] * (not [j for j in at if j < i]) + [(len(blocks) - i, False, "")] * (not after)
+                votes = [(k, tag) for d, k, tag in far if d == min(far)[0]]
+                return all(k for k, _ in votes) or any(k and (not page or tag == b.tag) for k, tag in votes)
+            return True
+
+        return [inherits(i) if k is None else k for i, k in enumerate(one)]
+
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randint(1, 14)):
+            n = rng.choice([1, 3, 20, 30])
+            text = " ".join(rng.choice(["the", "of"]) if rng.random() < rng.choice([0, 0.2, 0.5]) else "xyzword" for _ in range(n))
+            block = H.Block(rng.choice([-1, 0, 0, 0, 1, 2]), rng.random() < 0.2, tuple(rng.sample(range(1, 5), rng.randint(0, 3))), 0, rng.choice("pd"))
+            block.text, block.link_chars = text, rng.choice([0, 0, len(text) // 2, len(text)])
+            blocks.append(block)
+        want = restated(blocks)
+        H.decide(blocks)
+        assert [b.keep for b in blocks] == want
+
+
+def test_a_long_page():
+    body = "<p>The text of the page is here and it is long enough to be decided at once.</p><p>Ok.</p>" * 20_000
+    assert htmltext.main_text(f"<nav>menu</nav><article>{body}</article>").count("\n") == 39_999
+
+
+def test_features_of_long_texts_by_windows():
+    from boardlens.llm import toxicity
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcde \n") for _ in range(n)) for n in (0, 3, 900, 5000, 40)] + [None, "x\0y"]
+    whole = [np.concatenate(x) for x in zip(*[(r + a, f) for a, _, r, f in toxicity.present(pa.array(texts, pa.string()))])]
+    size = toxicity._windows.__defaults__
+    toxicity._windows.__defaults__ = (97,)
+    try:
+        parts = [np.concatenate(x) for x in zip(*[(r + a, f) for a, _, r, f in toxicity.present(pa.array(texts, pa.string()))])]
+    finally:
+        toxicity._windows.__defaults__ = size
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+    def brute(t):
+        t = " " + "".join(" " if ord(c) < 33 else c for c in (t or "").lower()) + " "
+        grams = {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+        return len(grams)
+
+    assert np.bincount(whole[0], minlength=len(texts)).tolist() == pytest.approx([brute(t) for t in texts], rel=0.01)
+
+
+def test_ratios_sway_the_fit():
+    """Scaled by ratios the fit differs from that on plain columns, and it is the minimum that a slow solver finds."""
+    from boardlens.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 6)) < 0.4).astype(np.float32)
+    y = (x @ np.array([2, 1, -1, 0, 0.5, 0]) + rng.normal(size=300) > 1).astype(np.float32)
+    ratio = toxicity.naive_bayes_ratios(x[y == 1].sum(0), x[y == 0].sum(0), int(y.sum()), int((1 - y).sum())).astype(np.float32)
+
+    def slow(x, l2):
+        w, b = np.zeros(x.shape[1]), 0.0
+        for _ in range(20_000):
+            g = 1 / (1 + np.exp(-(x @ w + b))) - y
+            w, b = w - 0.5 * (x.T @ g / len(y) + l2 * w), b - 0.5 * g.mean()
+        return w, b
+
+    scaled = toxicity.logistic(x * ratio, y, l2=0.05, rounds=2000)
+    want = slow((x * ratio).astype(float), 0.05)
+    assert scaled[0] == pytest.approx(want[0], abs=1e-3) and scaled[1] == pytest.approx(want[1], abs=1e-3)
+    plain = toxicity.logistic(x, y, l2=0.05, rounds=2000)
+    assert np.abs(scaled[0] * ratio - plain[0]).max() > 0.05
+    assert toxicity.naive_bayes_ratios(np.array([3.0, 0]), np.array([0, 3.0]), 4, 4) == pytest.approx([np.log(4), -np.log(4)])
+
+
+def test_keys_of_long_texts_by_windows(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, 30_000).astype(np.uint8)
+    data[rng.random(len(data)) < 0.1] = 32
+    data[5_000:9_000] = 98  # a word longer than a window
+    start, end, _ = W.word_spans(data, np.array([0, len(data)]))
+    whole = W.span_keys(data, start, end)
+    monkeypatch.setattr(W, "CHUNK_BYTES", 1 << 9)
+    assert (W.span_keys(data, start, end) == whole).all() and len(set(whole.tolist())) > 1000
+
+
 def test_packing_plan_meets_demand_with_little_padding():
     rng = random.Random(3)
     demand = {c: rng.randint(1, 60) for c in rng.sample(range(1, 257), 120)}
