@@ -1,16 +1,31 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags; each block knows its length, how
-much of it is link text, how many of its words are stop words, and the kind of
-region it stands in. Pass one decides blocks whose figures are clear: link-heavy
-blocks and blocks in menus, forms, asides and the like are dropped; long blocks
-with a running text's share of stop words are kept. Pass two lets the short and
-mixed blocks inherit from the nearest decided neighbours of their region, so a
-heading or a one-word line goes with the text around it.
+much of it is link text, how many of its words are stop words, the containers
+that it lies in and the kind of region it stands in. Pass one decides blocks
+whose figures are clear: blocks that are mostly links are dropped, in an article
+only where they follow one another as a list; long blocks with a running text's
+share of stop words are kept, long ones without stop words outside articles
+dropped. What stands in a menu, form, comment list or the like is dropped
+whatever its words: no figure tells a reader's comment from the article.
+
+Pass two lets the short and mixed blocks inherit from the nearest decided
+neighbours: in an article those of the article, elsewhere those of the innermost
+container that has any, at last those of the page, whose ends count as dropped
+neighbours. A heading inherits from what follows it. Between two neighbours
+equally near one that is kept wins, on the page's level if it has the block's
+tag. Tags and regions otherwise decide only what is left: where no block of an article is decided all of it stays, and on
+pages without article and without decided text, all that is not dropped stays.
+If nothing at all is left, articles inside regions that looked like margins (a
+form or a ``with-sidebar`` wrapper round the page) are taken as what they say.
 
 White space inside a block becomes one space, blocks are joined by one newline.
-A null or empty page has no text; markup that ends early is read as far as it
-goes.
+
+Nulls and odd rows: a null or empty page, or one without text, has the empty
+text; markup that ends early is read as far as it goes; long pages are read
+whole; rows that repeat, with or without a key, give a row each; an empty table
+gives an empty result; columns may have any names, one named as the result is
+replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +38,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from boardlens.llm.shared import free_name
 
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
@@ -47,8 +65,10 @@ OUT_NAMES = frozenset(
 IN_NAMES = frozenset("article post entry story".split())
 STRONG_ROLES = frozenset(("main", "article"))
 
-#: Pass one: link share above which a block is dropped, length and stop-word share from which it is kept.
-MAX_LINKS, LONG_CHARS, STOP_SHARE, LOW_STOP_SHARE = 0.34, 70, 0.22, 0.08
+#: Pass one: link share above which a block is dropped (in an article one of a list of them), length and stop-word share from which it is kept.
+MAX_LINKS, LIST_LINKS, LONG_CHARS, STOP_SHARE, LOW_STOP_SHARE = 0.34, 0.8, 70, 0.22, 0.08
+#: Innermost containers whose blocks are asked before the page's.
+LEVELS = 4
 
 # Comments, declarations and elements whose content is no markup; an open one runs to the end.
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|textarea|title|noscript|iframe|xmp)\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
@@ -62,9 +82,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     region: int  # 0: not known, > 0: the n-th article-like region, -1: outside any text
     heading: bool
+    boxes: tuple[int, ...] = ()  # the containers round it, innermost first
+    inner: int = 0  # > 0: the n-th article element inside a region outside any text
+    tag: str = ""  # the element that began it
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     keep: bool | None = None
+    why: str = ""  # what decided it
     text: str = ""
 
     def close(self) -> None:
@@ -98,17 +122,20 @@ def _stance(tag: str, attrs: str, inside: bool) -> int | None:
 def cut_blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements and their region
-    regions = 0
-    region, anchors, drop, breaks = 0, 0, "", 0
+    stack: list[tuple[str, int, int, int]] = []  # open elements, the region and inner article round them, and their number
+    regions = inners = opened = 0
+    region, inner, anchors, drop, breaks = 0, 0, 0, "", 0
     block = Block(0, False)
 
-    def flush(heading: bool = False) -> None:
+    def around() -> tuple[int, ...]:
+        return tuple(e[3] for e in stack[: -LEVELS - 1 : -1] if e[0] not in ("html", "body"))
+
+    def flush(heading: bool = False, tag: str = "") -> None:
         nonlocal block
         block.close()
         if block.text:
             blocks.append(block)
-        block = Block(region, heading)
+        block = Block(region, heading, around(), inner, tag)
 
     def add(raw: str) -> None:
         if raw:
@@ -154,95 +181,123 @@ def cut_blocks(page: str) -> list[Block]:
                 stance = _stance(tag, attrs, region > 0) if "=" in attrs else None
                 if stance == -1:  # an inline element that is no article text
                     flush(block.heading)
-                    stack.append((tag, region))
+                    opened += 1
+                    stack.append((tag, region, inner, opened))
                     region = block.region = -1
             elif closing and stack and stack[-1][0] == tag:
                 flush()
-                region = block.region = stack.pop()[1]
+                _, region, inner, _ = stack.pop()
+                block.region, block.inner = region, inner
             continue
         breaks = 0
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    before = stack[i][1]
+                    flush()
+                    _, region, inner, _ = stack[i]
                     del stack[i:]
                     anchors = 0
-                    flush()
-                    region = block.region = before
+                    block = Block(region, False, around(), inner)
                     break
             else:
                 flush()
             continue
         if stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
             flush()
-            region = stack.pop()[1]
+            _, region, inner, _ = stack.pop()
         if tag == "li" and stack and stack[-1][0] == "li":
-            region = stack.pop()[1]
-        flush(tag in HEADINGS)
+            flush()
+            _, region, inner, _ = stack.pop()
+        flush(tag in HEADINGS, tag)
         if tag not in VOID_TAGS:
-            stack.append((tag, region))
+            opened += 1
+            stack.append((tag, region, inner, opened))
             stance = _stance(tag, attrs, region > 0)
             if stance == -1:
-                region = -1
+                region, inner = -1, 0
             elif stance == 1 and region == 0:
                 regions += 1
                 region = regions
-            block.region = region
+            elif stance == 1 and region < 0 and not inner and tag in IN_TAGS:
+                inners += 1
+                inner = inners
+            block.region, block.inner = region, inner
     if not drop:
         add(page[at:])
     flush()
     return blocks
 
 
-def _neighbours(blocks: list[Block], back: bool = False) -> list[int | None]:
-    """For each block the last decided one before it (after it, if ``back``) that it may inherit from.
+def _figures(blocks: list[Block]) -> None:
+    """Pass one: ``keep`` and ``why`` of the blocks whose figures are clear."""
+    share = [b.link_chars / len(b.text) for b in blocks]
+    for i, b in enumerate(blocks):
+        if b.region < 0:
+            b.keep, b.why = False, "region"
+        elif share[i] > MAX_LINKS and (b.region == 0 or share[i] > LIST_LINKS and any(0 <= j < len(blocks) and share[j] > LIST_LINKS and blocks[j].region == b.region for j in (i - 1, i + 1))):
+            b.keep, b.why = False, "links"
+        elif share[i] <= MAX_LINKS and len(b.text) >= LONG_CHARS:
+            words = [w for w in _WORD.findall(b.text.lower())]
+            stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+            if stops >= STOP_SHARE:
+                b.keep, b.why = True, "prose"
+            elif stops < LOW_STOP_SHARE and b.region == 0:
+                b.keep, b.why = False, "no prose"
+
 
-    In an article-like region that is one of the region, elsewhere any.
-    """
-    last: dict[int, int] = {}
-    any_last: int | None = None
-    out: list[int | None] = [None] * len(blocks)
+def _nearest(blocks: list[Block], back: bool = False) -> list[dict]:
+    """For each undecided block, by group (its article or its containers; None for the page) the last decided block before it (after it, if ``back``)."""
+    last: dict = {}
+    out: list[dict] = [{}] * len(blocks)
     for i in range(len(blocks) - 1, -1, -1) if back else range(len(blocks)):
         b = blocks[i]
-        out[i] = last.get(b.region) if b.region else any_last
-        if b.keep is not None:
-            last[b.region] = any_last = i
+        groups = [("article", b.region)] if b.region > 0 else [*b.boxes, None]
+        if b.keep is None:
+            out[i] = {g: last[g] for g in groups if g in last}
+        else:
+            for g in {*groups, *b.boxes, None}:
+                last[g] = i
     return out
 
 
-def decide(blocks: list[Block]) -> None:
-    """Set ``keep`` of every block (both passes)."""
+def _inherit(blocks: list[Block]) -> None:
+    """Pass two: ``keep`` of the blocks that pass one left open."""
     articles = any(b.region > 0 for b in blocks)
-    for b in blocks:
-        n = len(b.text)
-        if b.region < 0 or b.link_chars > MAX_LINKS * n:
-            b.keep = False
-            continue
-        words = [w for w in _WORD.findall(b.text.lower())]
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if n >= LONG_CHARS and stops >= STOP_SHARE:
-            b.keep = True
-        elif n >= LONG_CHARS and stops < LOW_STOP_SHARE and b.region == 0:
-            b.keep = False
+    decided = any(b.keep for b in blocks)
+    before_of, after_of = _nearest(blocks), _nearest(blocks, back=True)
     first = [b.keep for b in blocks]
-    before_of, after_of = _neighbours(blocks), _neighbours(blocks, back=True)
     for i, b in enumerate(blocks):
         if first[i] is not None:
             continue
-        before, after = before_of[i], after_of[i]
-        if before is None and after is None:
-            b.keep = b.region > 0 or not articles
-        elif b.heading and after is not None:  # a heading goes with what it heads
-            b.keep = first[after]
-        elif before is None or after is None:
-            b.keep = first[after if before is None else before]
-        elif after - i != i - before:
-            b.keep = first[after if after - i < i - before else before]
+        b.why = "inherited"
+        groups = [("article", b.region)] if b.region > 0 else [*b.boxes, None]
+        found = next((g for g in groups if g is None or g in before_of[i] or g in after_of[i]), "none")
+        before, after = before_of[i].get(found), after_of[i].get(found)
+        if found == "none" or found is None and not articles and not decided:
+            b.keep, b.why = True, "alone"  # an article, or a page without one, of which nothing is decided
+            continue
+        if found is None:  # the ends of the page are dropped neighbours
+            near = [(i - before, before) if before is not None else (i + 1, None), (after - i, after) if after is not None else (len(blocks) - i, None)]
         else:
-            b.keep = bool(first[before] or first[after])
-        if b.region > 0 and not b.keep:
-            # Link-heavy lines of an article do not drag its short lines along.
-            b.keep = True
+            near = [(abs(i - j), j) for j in (before, after) if j is not None]
+        if b.heading and after is not None:
+            b.keep = first[after]
+            continue
+        least = min(d for d, _ in near)
+        votes = [j for d, j in near if d == least]
+        kept = [j for j in votes if j is not None and first[j]]
+        b.keep = bool(kept) and (found is not None or len(kept) == len(votes) or any(blocks[j].tag == b.tag for j in kept))
+
+
+def decide(blocks: list[Block]) -> None:
+    """Set ``keep`` of every block (both passes)."""
+    _figures(blocks)
+    _inherit(blocks)
+    if not any(b.keep for b in blocks) and any(b.inner for b in blocks):
+        for b in blocks:
+            b.region, b.keep, b.why = b.inner or -1, None, ""
+        _figures(blocks)
+        _inherit(blocks)
 
 
 def main_text(page: str | None) -> str:
@@ -261,6 +316,5 @@ def extract(pages: DataFrame, *, source: str = "html", out: str = "text") -> Dat
             texts = pa.array([main_text(batch.column(len(keep))[i].as_py()) for i in range(len(batch))], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), texts], names=[*keep, out])
 
-    rows = pages.select(*keep, F.col(source).cast("string").alias("_html"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name in keep)
-    return rows.mapInArrow(run, f"{schema}`{out}` string")
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").cast("string").alias(free_name(keep, "html")))
+    return rows.mapInArrow(run, StructType([*(pages.schema[c] for c in keep), StructField(out, StringType())]))
