@@ -58,7 +58,7 @@ SPARE = 1.15
 #: Texts that common members are counted in, and in how many of them one is common.
 SAMPLE_TEXTS, COMMON_IN, MAX_COMMON = 4_000, 4, 1 << 16
 #: Signatures that a task holds before it hands them on, and that a part has about (a set has about one for each member).
-FLUSH_ROWS, PART_ROWS = 1 << 18, 1 << 19
+FLUSH_ROWS, PART_ROWS = 1 << 18, 1 << 20
 #: Partitions that the parts are dealt to at most.
 MAX_PARTITIONS = 1 << 14
 BLOOM_BITS = 1 << 26
@@ -205,23 +205,33 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, common: np.ndar
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
+#: Bytes of a signature that travel (its part stands for its upper bits; a chance match only costs a comparison).
+_SIG_BYTES, _MOST = 5, (1 << 16) - 1
+
+
 def _pack(part: np.ndarray, node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Blobs by part: sets, signatures per set, signatures (six bytes each)."""
+    """Blobs by part: sets, signatures per set, signatures."""
     order = np.lexsort((node, part))
     part, node, sig = part[order], node[order], sig[order]
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         nodes, counts = np.unique(node[a:b], return_counts=True)
-        low = np.ascontiguousarray(sig[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-        yield int(part[a]), np.array([len(nodes), b - a], "<i8").tobytes() + nodes.tobytes() + counts.astype("<u4").tobytes() + low.tobytes()
+        if counts.max() > _MOST:  # a set that holds more stands there again
+            again = -(-counts // _MOST)
+            last = np.cumsum(again) - 1
+            rest = counts - (again - 1) * _MOST
+            nodes, counts = np.repeat(nodes, again), np.full(int(again.sum()), _MOST)
+            counts[last] = rest
+        low = np.ascontiguousarray(sig[a:b]).view(np.uint8).reshape(-1, 8)[:, :_SIG_BYTES]
+        yield int(part[a]), np.array([len(nodes), b - a], "<i8").tobytes() + nodes.tobytes() + counts.astype("<u2").tobytes() + low.tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.frombuffer(blob, "<i8", 2)
     nodes = np.frombuffer(blob, "<u8", k, 16)
-    counts = np.frombuffer(blob, "<u4", k, 16 + 8 * k)
+    counts = np.frombuffer(blob, "<u2", k, 16 + 8 * k)
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 16 + 12 * k).reshape(-1, 6)
+    wide[:, :_SIG_BYTES] = np.frombuffer(blob, np.uint8, _SIG_BYTES * n, 16 + 10 * k).reshape(-1, _SIG_BYTES)
     return np.repeat(nodes, counts), wide.view("<u8").ravel()
 
 

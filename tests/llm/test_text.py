@@ -267,6 +267,24 @@ def test_records_round_trip():
     assert h["WARC-Type"] == "revisit" and block.endswith(b"\r\n\r\n") and h["X-Refers-To-Key"] == "7"
 
 
+def test_record_ids_and_large_records():
+    raws = [warc.make_record(None, "u", b"x", None, i) for i in range(2)] + [warc.make_record(None, "u", b"y", None), warc.make_record(5, "u", b"z" * 300_000, None)]
+    packed = b"".join((z := zlib.compressobj(0, zlib.DEFLATED, 31)).compress(r) + z.flush() for r in raws)
+    assert list(warc.members(packed)) == raws
+    assert len({warc.parse_record(r)[0]["WARC-Record-ID"] for r in raws}) == 4
+    with pytest.raises(ValueError):
+        list(warc.members(packed[:-9]))
+
+
+def test_blobs_of_signatures_round_trip():
+    rng = np.random.default_rng(3)
+    node = np.concatenate([rng.integers(1, 40, 500).astype(np.uint64), np.full(70_000, 7, np.uint64)])
+    sig = rng.integers(0, 1 << 62, len(node)).astype(np.uint64)
+    part = (sig >> np.uint64(60)).astype(np.int64)
+    got = {(int(a), int(b)) for _, blob in jaccard._pack(part, node, sig) for a, b in zip(*jaccard._unpack(blob), strict=True)}
+    assert got == {(int(a), int(b) & ((1 << 40) - 1)) for a, b in zip(node, sig, strict=True)}
+
+
 @pytest.mark.parametrize("size", [4, 7, 12, 40, 150])
 @pytest.mark.parametrize("share", [0.0, 0.6, 1.0])
 def test_linked_sets_share_a_signature(size, share):
