@@ -27,7 +27,10 @@ def open_fs(uri: str):
 
 
 def write_bytes(uri: str, data: bytes, attempt: str) -> None:
-    """Write under a temporary name, then rename: readers never see half a file."""
+    """Write under a temporary name, then rename: readers never see half a file.
+
+    A file of another attempt of the same task that holds the same bytes stays.
+    """
     from pyarrow import fs as pafs
 
     fs, path = open_fs(uri)
@@ -35,8 +38,12 @@ def write_bytes(uri: str, data: bytes, attempt: str) -> None:
     temp = f"{path}._{attempt}"
     with fs.open_output_stream(temp) as out:
         out.write(data)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)  # an earlier attempt of the same task; same bytes
+    there = fs.get_file_info(path)
+    if there.type != pafs.FileType.NotFound:
+        if there.size == len(data) and read_bytes(uri) == data:
+            fs.delete_file(temp)
+            return
+        fs.delete_file(path)
     fs.move(temp, path)
 
 

@@ -12,9 +12,10 @@ The first is found by a map-side combined minimum per digest; keys and digests,
 not payloads, are joined with it, and payloads move once, to their range.
 
 Nulls and odd rows: a null payload is empty, a null url gives no target URI; rows
-without a key are not archived (a record needs a name); rows that repeat a key
-are kept, the first of them (by url) stands for the key; an empty table gives an
-empty manifest; further columns are ignored.
+without a key are archived in full under an id made of url, payload and their
+number among equal rows, refer to nothing and are referred to by nothing; rows
+that repeat a key are kept, the first of them (by url) stands for the key; an
+empty table gives an empty manifest; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ MANIFEST = "part int, seq int, path string, records long, bytes long, sha256 str
 ROLL_BYTES = 16 << 20
 #: Fixed: regenerated archives carry one date, so their bytes do not depend on when they were made.
 EPOCH = "1970-01-01T00:00:00Z"
+#: Bytes of a file that go to the decompressor at once.
+FEED_BYTES = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(key: int) -> str:
+def record_id(key: int | str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}')}"
 
 
@@ -47,29 +50,39 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def make_record(key: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record, uncompressed. A revisit keeps the HTTP head (with the payload's length) and drops the payload."""
+def make_record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, nth: int = 0) -> bytes:
+    """One record, uncompressed. A revisit keeps the HTTP head (with the payload's length) and drops the payload.
+
+    Without a key, the ``nth`` of equal rows is named by its url and payload.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id(key)}>"), ("WARC-Date", EPOCH)]
+    name = key if key is not None else f"{nth}:{url}:{hashlib.sha256(payload).hexdigest()}"
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id(name)}>"), ("WARC-Date", EPOCH)]
     if url is not None:
         head.append(("WARC-Target-URI", "".join(url.split())))
     head += [("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}")]
     if refers_to is not None:
         head += [("WARC-Refers-To", f"<{record_id(refers_to)}>"), ("WARC-Profile", PROFILE), ("X-Refers-To-Key", str(refers_to))]
-    head += [("X-Key", str(key)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    if key is not None:
+        head.append(("X-Key", str(key)))
+    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def members(raw: bytes) -> Iterator[bytes]:
     """The decompressed gzip members of a file, one by one."""
-    while raw:
-        z = zlib.decompressobj(31)
-        out = z.decompress(raw) + z.flush()
-        if not z.eof:
-            raise ValueError("truncated record")
-        yield out
-        raw = z.unused_data
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            part = view[at : at + FEED_BYTES]
+            if not len(part):
+                raise ValueError("truncated record")
+            out.append(z.decompress(part))
+            at += len(part)
+        at -= len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -104,8 +117,9 @@ def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str
         part, attempt, seq = task.partitionId(), task.taskAttemptId(), 0
         held: list[bytes] = []
         size = 0
-        last = None
+        last: tuple | None = None
         seen: set[str] = set()
+        nth = 0
 
         def roll() -> pa.RecordBatch:
             nonlocal held, size, seq
@@ -121,10 +135,10 @@ def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str
         for batch in batches:
             for i in range(len(batch)):
                 k, digest, first, u, body = (batch.column(j)[i].as_py() for j in range(5))
-                if k != last:
-                    marks = {}
-                    seen = set()
-                    last = k
+                row = (k,) if k is not None else (k, u, body)
+                nth = nth + 1 if row == last else 0
+                if row != last:
+                    marks, seen, last = {}, set(), row
                 if digest is not None:
                     marks[digest] = first
                     continue
@@ -132,11 +146,11 @@ def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str
                 same = hashlib.sha256(data).hexdigest()
                 first = marks.get(same)
                 # A repeated key is a repeated row: all but its first refer to it.
-                if first is None and same in seen and len(data) >= min_revisit_bytes:
+                if first is None and k is not None and same in seen and len(data) >= min_revisit_bytes:
                     first = k
                 seen.add(same)
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                held.append(z.compress(make_record(k, u, data, first)) + z.flush())
+                held.append(z.compress(make_record(k, u, data, first, nth)) + z.flush())
                 size += len(held[-1])
                 if size >= roll_bytes:
                     yield roll()
@@ -145,9 +159,12 @@ def write_warc(pages: DataFrame, out_dir: str, *, key: str = "page_id", url: str
 
     # Marks travel to their records' range and come before them, so payloads are dealt out once.
     marks = mark_revisits(pages, key=key, payload=payload, min_revisit_bytes=min_revisit_bytes)
+    # Rows without a key spread by what they hold.
+    spread = F.when(F.col("k").isNull(), F.xxhash64("url", "payload")).otherwise(F.lit(0).cast("long"))
     marks = marks.select("k", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))
-    records = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload"))
-    ordered = records.unionByName(marks).repartitionByRange("k").sortWithinPartitions("k", F.col("digest").asc_nulls_last(), "url", "payload")
+    records = pages.select(F.col(key).cast("long").alias("k"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload"))
+    ordered = records.unionByName(marks).withColumn("spread", spread).repartitionByRange("k", "spread").sortWithinPartitions("k", "spread", F.col("digest").asc_nulls_last(), "url", "payload")
+    ordered = ordered.drop("spread")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
 
@@ -175,7 +192,7 @@ def read_warc(manifest: DataFrame, *, with_payload: bool = False) -> DataFrame:
                     if h["WARC-Type"] == "response" and (len(body) != n or base32_sha1(body) != digest):
                         raise ValueError(f"payload of {h['WARC-Record-ID']} differs from its digest")
                     back = h.get("X-Refers-To-Key")
-                    row = [int(h["X-Key"]), h.get("WARC-Target-URI"), h["WARC-Type"], int(back) if back else None, n, digest] + [body] * with_payload
+                    row = [int(h["X-Key"]) if "X-Key" in h else None, h.get("WARC-Target-URI"), h["WARC-Type"], int(back) if back else None, n, digest] + [body] * with_payload
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)

@@ -150,12 +150,17 @@ def test_warc_round_trip(spark, tmp_path):
         m = warc.write_warc(d, f"file://{tmp_path}/{name}", roll_bytes=600)
         out.append(sorted((r["path"].rsplit("/", 1)[1], r["sha256"]) for r in m.collect()))
     assert out[0] == out[1] and len(out[0]) > 1
-    got = sorted(((r["key"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(m).collect()), key=lambda r: (r[0], str(r[2])))
+    got = sorted(((r["key"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(m).collect() if r["key"] is not None), key=lambda r: (r[0], str(r[2])))
     dig = lambda s: warc.base32_sha1((s or "").encode())
     first = {"a" * 50: 0, "": 3}
     want = [(i, "revisit" if first.get(b or "", i) < i else "response", first.get(b or "") if first.get(b or "", i) < i else None, len((b or "").encode()), dig(b)) for i, b in enumerate(body)]
     want.insert(7, want[6])
     assert got == want
+    nameless = warc.read_warc(m).where("key IS NULL").collect()
+    assert [(r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in nameless] == [("response", None, 50, dig("a" * 50))]
+    twice = spark.createDataFrame([(None, "u", "b"), (None, "u", "b"), (None, None, None), (None, "v", "b")], "page_id long, url string, html string")
+    back = warc.read_warc(warc.write_warc(twice, f"file://{tmp_path}/n"), with_payload=True).collect()
+    assert sorted((str(r["url"]), bytes(r["payload"])) for r in back) == [("None", b""), ("u", b"b"), ("u", b"b"), ("v", b"b")]
     loose = warc.read_warc(warc.write_warc(d, f"file://{tmp_path}/z", min_revisit_bytes=10)).where("key = 4").first()
     assert loose["record_type"] == "response"
     assert warc.read_warc(warc.write_warc(d.limit(0), f"file://{tmp_path}/e")).count() == 0
