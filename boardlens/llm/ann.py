@@ -13,15 +13,17 @@ queries is searched exactly and the budget is set so that their neighbours are
 found at ``target_recall``.
 
 Entries meet queries by (first centroid, slice): cells of a first centroid with
-many rows are cut into slices of about ``SLICE_ROWS`` rows and queries come to
-each, in blocks of ``QUERY_BLOCK``, so repeated vectors that crowd one cell
-spread over tasks. Partial results are k rows per query and slice.
+many rows are cut into slices of about ``SLICE_ROWS`` rows, so repeated vectors
+that crowd one cell spread over tasks. Each entry travels once; a task holds the
+entries of one slice, and the queries that reach it go past them in batches.
+Partial results are k rows per query and slice.
 
 Nulls and odd rows: vectors that are null, zero, hold null or non-finite
-components, or have another length than most take no part, as query or entry;
-neither do rows without an id. Equal distances go to the smaller id. Rows that
-share the query's id are its own. Fewer rows than k give all of them; an empty
-table gives no rows. Further columns are ignored.
+components take no part, as query or entry; neither do rows without an id.
+Vectors of different lengths have no distance: those of each length are searched
+among themselves. Equal distances go to the smaller id. Rows that share the
+query's id are its own; a row that repeats is an entry each time. Fewer rows than
+k give all of them; an empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from boardlens.llm import shared
 #: Rows that the codebooks are fitted on, queries that the budget is measured on.
 FIT_ROWS, CALIBRATION_QUERIES = 20_000, 200
 MAX_CENTROIDS = 256
-SLICE_ROWS, QUERY_BLOCK = 20_000, 8_192
+SLICE_ROWS = 20_000
+#: Queries that a task walks the cells for, about, and tasks at most.
+WALK_ROWS, WALK_TASKS = 64, 1 << 14
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -117,14 +121,14 @@ def _top(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], dist[at]))][:k]
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id long, v array<double>) of the rows that take part."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    n = size["n"] if size else 0
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    fine = (F.size("v") == n) & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
-    return rows.where(F.coalesce(fine, F.lit(False)))
+    return rows.where(F.coalesce((F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False)))
 
 
 def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, target_recall: float = 0.96, centroids: int | None = None, seed: int = 7) -> DataFrame:
@@ -134,11 +138,17 @@ def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     """
     spark = vectors.sparkSession
     rows = shared.materialise(usable(vectors, key, vector), "ann-rows")
-    total = rows.count()
-    result = "query_id long, vec_id long, score double"
-    if total < 2:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = spark.createDataFrame([], RESULT)
+    for r in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():  # one row a length of vectors
+        if r["count"] > 1:
+            out = out.unionByName(_search(rows.where(F.size("v") == r["n"]), r["count"], is_query, k, target_recall, centroids, seed))
+    return out
+
 
+def _search(rows: DataFrame, total: int, is_query: Column, k: int, target_recall: float, centroids: int | None, seed: int) -> DataFrame:
+    """:func:`search` among ``total`` vectors of one length."""
+    spark = rows.sparkSession
+    result = "query_id long, vec_id long, score double"
     order = F.xxhash64("id", F.lit(seed))
     sample = _matrix(rows.withColumn("h", order).orderBy("h", "id").limit(FIT_ROWS).select("v").toArrow()["v"])
     half = max(1, sample.shape[1] // 2)
@@ -164,12 +174,11 @@ def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     queries = rows.where(is_query)
     tried = queries.withColumn("h", order).orderBy("h", "id").limit(CALIBRATION_QUERIES).select("id", "v").toArrow()
     if not len(tried):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     budget = _budget(spark, index, np.asarray(tried["id"]), _matrix(tried["v"]), (book1, book2), half, counts, k, target_recall)
 
     slices = np.maximum(1, -(-counts.sum(1) // SLICE_ROWS))
     n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     held = spark.sparkContext.broadcast((counts, slices))
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,31 +200,49 @@ def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["id", "v", "c1", "slice", "cells"])
 
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
-    aimed = queries.repartition(min(64, max(1, n_queries // 64)), "id").mapInArrow(aim, "id long, v array<double>, c1 int, slice int, cells binary").select("*", block)
+    tasks = min(WALK_TASKS, max(1, n_queries // WALK_ROWS))
+    aimed = queries.repartition(tasks, "id").mapInArrow(aim, "id long, v array<double>, c1 int, slice int, cells binary")
     of = F.create_map(*[F.lit(x) for c, s in enumerate(slices.tolist()) for x in (c, int(s))])
-    entries = index.withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), of[F.col("c1")]).cast("int"))
-    entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
-        if len(left) and len(right):
-            x, ids, c2 = _matrix(left["v"]), np.asarray(left["id"]), np.asarray(left["c2"])
-            q, q_ids, cells = _matrix(right["v"]), np.asarray(right["id"]), right["cells"].to_pylist()
-            for i in range(len(q)):
-                within = np.unpackbits(np.frombuffer(cells[i], np.uint8)).view(bool)
-                at = np.flatnonzero(within[c2] & (ids != q_ids[i]))
-                if len(at):
-                    diff = x[at] - q[i]
-                    dist = np.sqrt((diff * diff).sum(1))
-                    best = _top(dist, ids[at], k)
-                    for col, val in zip(found, (np.full(len(best), q_ids[i]), ids[at][best], dist[best]), strict=True):
-                        col.append(val)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in found]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    on = ("c1", "slice", "block")
-    partial = entries.groupBy(*on).cogroup(aimed.groupBy(*on)).applyInArrow(rerank, result)
+    # By place in the index, not by id: rows that share an id are dealt out, too.
+    entries = index.withColumn("slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), of[F.col("c1")]).cast("int"))
+    entries = entries.select("c1", "slice", F.lit(False).alias("asks"), "id", "v", "c2", F.lit(None).cast("binary").alias("cells"))
+    asking = aimed.select("c1", "slice", F.lit(True).alias("asks"), "id", "v", F.lit(None).cast("int").alias("c2"), "cells")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, parts = None, []
+        x = ids = c2 = None
+        for batch in batches:
+            cells_of, asks = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))]), np.asarray(batch.column(2))
+            cuts = np.flatnonzero(np.any(cells_of[:, 1:] != cells_of[:, :-1], axis=0) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if a == b:
+                    continue
+                if place != tuple(cells_of[:, a].tolist()):
+                    place, parts, x = tuple(cells_of[:, a].tolist()), [], None
+                run = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append((_matrix(run.column(4)), np.asarray(run.column(3)), np.asarray(run.column(5))))
+                    continue
+                if not parts:
+                    continue
+                if x is None:
+                    x, ids, c2 = (np.concatenate(p) for p in zip(*parts, strict=True))
+                q, q_ids = _matrix(run.column(4)), np.asarray(run.column(3))
+                found: list[list[np.ndarray]] = [[], [], []]
+                for i in range(len(q)):
+                    within = np.unpackbits(np.frombuffer(run.column(6)[i].as_buffer(), np.uint8)).view(bool)
+                    at = np.flatnonzero(within[c2] & (ids != q_ids[i]))
+                    if len(at):
+                        diff = x[at] - q[i]
+                        dist = np.sqrt((diff * diff).sum(1))
+                        best = _top(dist, ids[at], k)
+                        for col, val in zip(found, (np.full(len(best), q_ids[i]), ids[at][best], dist[best]), strict=True):
+                            col.append(val)
+                cols = [np.concatenate(c) if c else np.zeros(0) for c in found]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    met = entries.unionByName(asking).repartition("c1", "slice").sortWithinPartitions("c1", "slice", "asks")
+    partial = met.mapInArrow(rerank, result)
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
