@@ -83,8 +83,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, judged by who else holds them."""
     from boardlens.llm import secrets
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = secrets.find_secrets(docs)
+    # A source is an owner; its part in one language stands for a repository.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.when(F.col("source").isNotNull(), F.struct("source", "lang")).alias("repo"))
+    found = secrets.find_secrets(docs, repo="repo", owner="source")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
     live = F.size(F.filter("secrets", lambda s: s["verdict"] == "live")).cast("long")
     base = F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256)
@@ -136,10 +137,10 @@ FROM p JOIN f USING (html)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw documents to packed sequences: the stages of corpus_pipeline."""
-    import corpus_pipeline
+    """Raw documents to packed sequences: the stages of :mod:`boardlens.llm.pipeline`."""
+    from boardlens.llm import pipeline as stages
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,8 @@
 Candidates come from patterns of assignments, access keys, long hex runs,
 provider formats and bare strings. The hash of each candidate's value is
 aggregated over the whole corpus by distinct repositories and owners: a value
-that many owners hold is a copied example, one that a single owner or two hold
+that many owners hold, or two owners in many repositories, is a copied example;
+one that a single owner holds, in however many repositories, or two in a few,
 looks like a live credential of theirs. A bare string elsewhere whose hash is
 that of such a credential is a span of its own kind (``reuse``), so a leak is
 found even where nothing around it says so. A private key's span reaches from
@@ -15,10 +16,14 @@ Places are code points, end exclusive; of one kind, spans are leftmost and do
 not overlap. Spark gives no match offsets, so they are the running lengths of
 what lies between and in the matches.
 
+Matches of a text are folded by runs of ``FOLD``, so a text of very many matches
+copies no long list for each.
+
 Nulls and odd rows: a null text is empty and has no spans; a null repository or
 owner counts as one unnamed of its own; rows that repeat are kept and do not
 change counts of distinct owners; an empty table gives an empty result; names
-beginning with ``_sc_`` are reserved, other columns pass through.
+beginning with ``_sc_`` are reserved, columns named ``secrets`` or ``base`` are
+replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -61,6 +66,10 @@ _FASTER = {"hex": r"[0-9a-f]{24,}"}
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|redacted|x{4,}|\*{4,}|your[_-]"
 #: Distinct owners from which on a value is a copied example.
 EXAMPLE_OWNERS = 3
+#: Distinct repositories of two owners from which on a value is one, too.
+EXAMPLE_REPOS = 5
+#: Matches of a text that are folded together.
+FOLD = 256
 #: Distinct characters that a live-looking value has at least.
 LIVE_CHARACTERS = 6
 
@@ -90,7 +99,11 @@ def find_spans(text: Column, kind: str) -> Column:
         return F.struct(end.alias("pos"), out.cast(spans).alias("out"))
 
     none = F.array().cast(spans)
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    # Runs of matches, each folded from where the one before it ended.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / FOLD).cast("int")), lambda i: F.slice(parts, i * FOLD + 1, F.lit(FOLD)))
+    begin = lambda acc: F.struct(F.coalesce(F.get(acc, F.size(acc) - 1)["pos"], F.lit(0)).alias("pos"), none.alias("out"))
+    folded = F.array().cast(f"array<struct<pos:int,out:{spans}>>")
+    found = F.aggregate(runs, folded, lambda acc, run: F.concat(acc, F.array(F.aggregate(run, begin(acc), step))), lambda acc: F.flatten(F.transform(acc, lambda r: r["out"])))
     return F.when(text.rlike(test), found).otherwise(none)
 
 
@@ -118,7 +131,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.array_sort(hashed).alias("_sc_spans"), F.monotonically_increasing_id().alias("_sc_row"))
 
 
-def ownership(scanned: DataFrame, *, repo: str, owner: str, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(scanned: DataFrame, *, repo: str, owner: str, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row per candidate hash: n_found, n_repos, n_owners, named (found by more than a bare string), verdict.
 
     Counting runs over (hash, repository, owner) first, combined map-side, so a
@@ -129,7 +142,8 @@ def ownership(scanned: DataFrame, *, repo: str, owner: str, example_owners: int
     cand = scanned.select(F.coalesce(F.col(repo).cast("string"), unnamed).alias("r"), F.coalesce(F.col(owner).cast("string"), unnamed).alias("o"), s.alias("s"))
     held = cand.groupBy(F.col("s.hash").alias("hash"), "r", "o").agg(F.count("*").alias("n"), F.max(F.col("s.kind") != KINDS.index("reuse")).alias("named"), F.max("s.shape").alias("shape"))
     by = held.groupBy("hash").agg(F.sum("n").alias("n_found"), F.count_distinct("r").alias("n_repos"), F.count_distinct("o").alias("n_owners"), F.max("named").alias("named"), F.max("shape").alias("shape"))
-    verdict = F.when((F.col("n_owners") >= example_owners) | ~F.col("shape"), "example").otherwise("live")
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos)
+    verdict = F.when(copied | ~F.col("shape"), "example").otherwise("live")
     return by.where("named").select("hash", "n_found", "n_repos", "n_owners", verdict.alias("verdict"))
 
 
@@ -139,8 +153,8 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", repo: str = "source", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``docs`` without its text, with ``secrets`` and ``base``.
+def find_secrets(docs: DataFrame, *, text: str = "text", repo: str = "source", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """``docs`` without its text, with ``secrets`` and ``base``; ``repo`` and ``owner`` name its columns of those.
 
     ``secrets``: array<struct<start, kind, end, hash, verdict>> of all spans
     (kind as a number in KINDS), ``base``: the same of the base kinds, which
@@ -148,9 +162,9 @@ def find_secrets(docs: DataFrame, *, text: str = "text", repo: str = "source", o
     is a live-looking credential elsewhere and no other span starts and ends
     where it does.
     """
-    scanned = shared.materialise(scan(docs, text=text), "secrets")
+    scanned = shared.materialise(scan(docs.drop("secrets", "base"), text=text), "secrets")
     own = [c for c in scanned.columns if not c.startswith("_sc_")]
-    verdicts = ownership(scanned, repo=repo, owner=owner, example_owners=example_owners)
+    verdicts = ownership(scanned, repo=repo, owner=owner, example_owners=example_owners, example_repos=example_repos)
     spans = scanned.where(F.size("_sc_spans") > 0).select("_sc_row", F.explode("_sc_spans").alias("s"))
     judged = spans.select("_sc_row", "s.*").join(verdicts.select("hash", "verdict"), "hash", "left")
     judged = judged.where((F.col("kind") != KINDS.index("reuse")) | (F.col("verdict") == "live"))
