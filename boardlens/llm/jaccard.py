@@ -18,7 +18,9 @@ indexes all its segments among the sets of its kind. The rules look at contents
 only, so both sides of a pair agree on them.
 
 Signatures travel packed, by ranges of their value; equal ones are found by
-sorting. Groups of sets that share a signature are never expanded into pairs:
+sorting. A signature of more than ``HOT_SETS`` sets leaves this way: its sets are
+grouped by the table's own aggregation and cut into slices of about
+``SLICE_SETS``, and no task holds more of it than a slice. Groups of sets that share a signature are never expanded into pairs:
 one member is compared with the others, the links found are joined into
 components, and only groups that still hold several components go on, with the
 best-linked members as the next ones to compare, more in each round, until every
@@ -42,7 +44,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlens.llm import words as W
@@ -62,19 +64,18 @@ FLUSH_ROWS, PART_ROWS = 1 << 18, 1 << 20
 #: Partitions that the parts are dealt to at most.
 MAX_PARTITIONS = 1 << 14
 BLOOM_BITS = 1 << 26
+#: Sets of one signature from which on they are grouped in slices, sets of a slice about, signatures that a task holds before it looks for such ones.
+HOT_SETS, SLICE_SETS, HELD_SIGS = 1 << 16, 1 << 14, 1 << 21
 
 
-def shingle_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key) of the distinct shingles of each text in order of row and key, and the rows' set sizes."""
-    data = W.LOWER[data]
-    start, end, row = W.word_spans(data, offsets)
-    keys = W.span_keys(data, start, end)
-    rows = len(offsets) - 1
+def shingle_rows(keys: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) of the distinct shingles of each text in order of row and key, and the rows' set sizes, from its words' keys."""
     many = np.bincount(row, minlength=rows)
     n = len(keys) - SHINGLE + 1
     h = np.zeros(max(n, 0), U64)
     for j in range(SHINGLE if n > 0 else 0):
-        h = h * U64(0x9E3779B97F4A7C15) + keys[j : j + n]
+        h *= U64(0x9E3779B97F4A7C15)
+        h += keys[j : j + n]
         h ^= h >> U64(29)
     at = np.flatnonzero(row[:n] == row[SHINGLE - 1 :]) if n > 0 else np.zeros(0, np.int64)
     h, r = W.mix(h[at]), row[:n][at] if n > 0 else row[:0]
@@ -87,8 +88,11 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             one[on] = one[on] * U64(0x9E3779B97F4A7C15) + keys[first[on] + j]
             one[on] ^= one[on] >> U64(29)
         h, r = np.concatenate([h, W.mix(one + many[few].astype(U64))]), np.concatenate([r, few])
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+    if rows == 1:
+        h.sort()
+    else:
+        order = np.lexsort((h, r))
+        h, r = h[order], r[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     h, r = h[keep], r[keep]
@@ -111,9 +115,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _sets(column: pa.Array):
     """(first row, rows, row, member, sizes, set keys) of runs of rows."""
-    for a, b, data, offsets in W.text_chunks(column):
-        row, h, size = shingle_rows(data, offsets)
-        yield a, b - a, row, h, size, set_keys(row, h, size)
+    held: list[np.ndarray] = []  # of a text that comes in windows, the keys of its words
+    for a, rows, ended, _, _, _, _, row, keys in W.word_runs(column):
+        if held or not ended:
+            held.append(keys)
+            if not ended:
+                continue
+            keys, held = np.concatenate(held), []
+            row = np.zeros(len(keys), np.int64)
+        row, h, size = shingle_rows(keys, row, rows)
+        yield a, rows, row, h, size, set_keys(row, h, size)
 
 
 @cache
@@ -276,7 +287,7 @@ def _common_members(docs: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def candidate_groups(docs: DataFrame, n_docs: int, members: int) -> DataFrame:
-    """(gid, nodes): distinct groups of sets that share a signature."""
+    """(gid, sig, nodes): distinct groups of sets that share a signature; where ``sig`` is given, some sets of that hot one."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common_members(docs, n_docs))  # at most MAX_COMMON keys
     bits = max(6, int(np.ceil(np.log2(max(1, members) / PART_ROWS + 1e-9))))
@@ -308,14 +319,70 @@ def candidate_groups(docs: DataFrame, n_docs: int, members: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def match(part: pa.Table) -> pa.Table:
-        both = [_unpack(b) for b in part["blob"].to_pylist()]
-        gid, cut, nodes = groups_of(np.concatenate([n for n, _ in both]), np.concatenate([s for _, s in both]))
-        return pa.table({"gid": _signed(gid), "nodes": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), _signed(nodes))})
+    hot_sets, held_sigs = HOT_SETS, HELD_SIGS
+    names = ["gid", "sig", "nodes"]
+
+    def lists(nodes: np.ndarray, cut: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), _signed(nodes))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last, rows, hot = None, 0, np.zeros(0, U64)
+
+        def cool() -> Iterator[pa.RecordBatch]:
+            """Hand the sets of hot signatures on."""
+            nonlocal held, rows, hot
+            node, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            values, many = np.unique(sig, return_counts=True)
+            hot = np.union1d(hot, values[many > hot_sets])
+            out = np.isin(sig, hot)
+            order = np.argsort(sig[out], kind="stable")
+            node_out, sig_out = node[out][order], sig[out][order]
+            held, rows = [(node[~out], sig[~out])], int((~out).sum())
+            if len(sig_out):
+                # Of a signature as much as fits a list: equal values lie together.
+                cut = np.unique(np.concatenate([np.flatnonzero(np.concatenate([[True], sig_out[1:] != sig_out[:-1]])), np.arange(0, len(sig_out), 1 << 16), [len(sig_out)]]))
+                value = W.mix(sig_out[cut[:-1]] + U64(last * 0x9E3779B97F4A7C15 % (1 << 64)))
+                own = W.mix(np.add.reduceat(W.mix(node_out), cut[:-1]) ^ value)  # equal pieces are one
+                yield pa.RecordBatch.from_arrays([_signed(own), _signed(value), lists(node_out, cut)], names=names)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if len(hot):
+                yield from cool()
+            gid, cut, nodes = groups_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if len(gid) and np.diff(cut).max() > hot_sets:
+                yield from cool()
+                gid, cut, nodes = groups_of(*held[0])
+            if len(gid):
+                yield pa.RecordBatch.from_arrays([_signed(gid), pa.nulls(len(gid), pa.int64()), lists(nodes, cut)], names=names)
+
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != last and held:
+                    yield from finish()
+                    held, rows, hot = [], 0, hot[:0]
+                last = part
+                held.append(_unpack(blob.as_buffer()))
+                rows += len(held[-1][0])
+                if rows > held_sigs:
+                    yield from cool()
+        if held:
+            yield from finish()
 
     blobs = docs.select("t").mapInArrow(index, "part int, blob binary")
-    found = blobs.repartition(min(1 << bits, MAX_PARTITIONS), "part").groupBy("part").applyInArrow(match, "gid long, nodes array<long>")
-    return found.groupBy("gid").agg(F.first("nodes").alias("nodes"))
+    dealt = blobs.repartition(min(1 << bits, MAX_PARTITIONS), "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(match, "gid long, sig long, nodes array<long>")
+    return found.groupBy("gid").agg(F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
+
+
+def slices_of(hot: DataFrame) -> DataFrame:
+    """(gid, slice, nodes): the distinct groups of the hot signatures' sets, in slices."""
+    rows = materialise(hot.select("sig", F.explode("nodes").alias("node")).distinct(), "jaccard-hot")
+    own = F.xxhash64(F.col("node"), F.lit(3))
+    groups = rows.groupBy("sig").agg(F.bit_xor(own).alias("x"), F.count("*").alias("n")).select("sig", "n", F.xxhash64("x", "n").alias("gid"))
+    one = groups.groupBy("gid").agg(F.min("sig").alias("sig"), F.first("n").alias("n"))
+    of = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SLICE_SETS)).cast("int")
+    return rows.join(one, "sig").groupBy("gid", of.alias("slice")).agg(F.collect_list("node").alias("nodes"))
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -449,21 +516,81 @@ def _comparer(centres: int, first: bool):
     return compare
 
 
-def link_groups(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _facts(short: DataFrame, links: DataFrame | None, parts: DataFrame | None) -> DataFrame:
+    """(node, size, sketch, part, degree) of the sets as far as links are known."""
+    if parts is not None:
+        degree = links.select("a").union(links.select("b")).groupBy("a").count()
+        facts = short.join(parts, "node", "left").join(degree.toDF("node", "degree"), "node", "left")
+    else:
+        facts = short.withColumns({"component": F.lit(None).cast("long"), "degree": F.lit(0).cast("long")})
+    return facts.select("node", "size", "sketch", F.coalesce("component", "node").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def _most_met(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs the one that is met most often."""
+    both = pairs.select("a", "b", F.col("a").alias("of")).union(pairs.select("a", "b", F.col("b").alias("of")))
+    met = both.groupBy("of", "a", "b").count()
+    return met.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.*")
+
+
+def _linked(pairs: DataFrame, members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(links, components) with those that verification finds among ``pairs``."""
+    pairs = materialise(pairs.distinct(), "jaccard-pairs")
+    found = materialise(verify(pairs, members).where("linked").select("a", "b"), "jaccard-links")
+    drop_table(pairs)
+    links = found if links is None else links.unionByName(found)
+    # A checked number of links is joined in one task; beyond it, by forests and rounds over all.
+    return links, (local_components if links.count() <= LOCAL_EDGES else connected_components)(links)
+
+
+def _beside(group: pa.Table) -> pa.Table:
+    """Pairs worth verifying of a slice's sets with the centres of its group."""
+    centre = np.asarray(group["centre"])
+    node, part, size = (np.asarray(group[c]) for c in ("node", "part", "size"))
+    rows = _fold(group["sketch"].to_pylist())
+    members, pairs = np.flatnonzero(~centre), []
+    for c in np.flatnonzero(centre).tolist():
+        at = members[(part[members] != part[c]) & (differ(size[members], size[c]) >= np.abs(size[members] - size[c]))]
+        at = at[np.bitwise_count(rows[at] ^ rows[c]).sum(1) <= differ(size[at], size[c])]
+        pairs.append(np.stack([np.minimum(node[at], node[c]), np.maximum(node[at], node[c])]))
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+#: Sets of a sliced group that are compared with all its others, by turn.
+SLICED_CENTRES = (1, 16, 256)
+
+
+def link_slices(slices: DataFrame, short: DataFrame, members: DataFrame, links: DataFrame | None, parts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, components) with those of groups in slices: the best-linked sets of a group go to each of its slices, turn by turn."""
+    rows = materialise(slices.select("gid", "slice", F.explode("nodes").alias("node")), "jaccard-sliced")
+    done = rows.select("gid", "node").limit(0)
+    for turn in range(1 << 20):
+        facts = rows.join(_facts(short, links, parts), "node")
+        apart = facts.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gid")
+        facts = facts.join(apart, "gid", "left_semi")
+        best = Window.partitionBy("gid").orderBy(F.desc("degree"), "node")
+        left = facts.join(done, ["gid", "node"], "left_anti")
+        centres = left.withColumn("r", F.row_number().over(best)).where(F.col("r") <= SLICED_CENTRES[min(turn, len(SLICED_CENTRES) - 1)])
+        centres = materialise(centres.select("gid", "node", "size", "sketch", "part"), "jaccard-centres")
+        if not centres.limit(1).count():
+            return links, parts
+        columns = ["gid", "slice", "node", "size", "sketch", "part"]
+        sent = centres.join(slices.select("gid", "slice"), "gid").select(*columns, F.lit(True).alias("centre"))
+        met = facts.select(*columns, F.lit(False).alias("centre")).unionByName(sent).groupBy("gid", "slice").applyInArrow(_beside, "a long, b long")
+        pairs = materialise(met, "jaccard-turn")
+        done = done.union(centres.select("gid", "node")) if turn else done  # the first turn verifies one pair a set
+        links, parts = _linked(pairs if turn else _most_met(pairs), members, links)
+
+
+def link_groups(groups: DataFrame, short: DataFrame, members: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(links found, components of the linked sets) of the candidate groups; see the module's text."""
-    left, spark = groups, groups.sparkSession
+    left = groups
     links: DataFrame | None = None
     parts: DataFrame | None = None
-    short = materialise(members.select("node", "size", "sketch").dropDuplicates(["node"]), "jaccard-sketches")
     for turn in range(1 << 20):
         centres = CENTRES[min(turn, len(CENTRES) - 1)]
-        facts = short
-        if parts is not None:
-            degree = links.select("a").union(links.select("b")).groupBy("a").count()
-            facts = short.join(parts, "node", "left").join(degree.toDF("node", "degree"), "node", "left")
-        else:
-            facts = facts.withColumns({"component": F.lit(None).cast("long"), "degree": F.lit(0).cast("long")})
-        facts = facts.select("node", "size", "sketch", F.coalesce("component", "node").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        facts = _facts(short, links, parts)
         rows = left.select("gid", F.explode("nodes").alias("node"))
         if parts is not None:  # groups that are one component need no sketches
             apart = rows.join(facts.select("node", "part"), "node").groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gid")
@@ -471,19 +598,14 @@ def link_groups(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
 
         done = materialise(rows.join(facts, "node").groupBy("gid").applyInArrow(_comparer(centres, turn == 0), TURN), "jaccard-turn")
         pairs = done.where("a IS NOT NULL").select("a", "b")
-        if turn == 0:  # each set is first verified with the one that it meets most often
-            both = pairs.select("a", "b", F.col("a").alias("of")).union(pairs.select("a", "b", F.col("b").alias("of")))
-            met = both.groupBy("of", "a", "b").count()
-            pairs = met.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.*")
-        pairs = materialise(pairs.distinct(), "jaccard-pairs")
-        found = materialise(verify(pairs, members).where("linked").select("a", "b"), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        # A checked number of links is joined in one task; beyond it, by rounds over all.
-        parts = (local_components if links.count() <= LOCAL_EDGES else connected_components)(links)
+        # Each set is first verified with the one that it meets most often.
+        links, parts = _linked(pairs if turn else _most_met(pairs), members, links)
+        if left is not groups:
+            drop_table(left)
         left = done.where("nodes IS NOT NULL").select("gid", "nodes")  # whose members have not all met
         if not left.limit(1).count():
             break
-    return links if links is not None else spark.createDataFrame([], "a long, b long"), parts
+    return links, parts
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -502,9 +624,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     kind = docs.schema[key].dataType.simpleString()
     sets = materialise(rows.mapInArrow(size_up, f"k {kind}, n long, node long"), "jaccard-sets")
     totals = sets.agg(F.count("*"), F.sum("n")).first()
-    groups = materialise(candidate_groups(rows, totals[0], totals[1] or 0), "jaccard-groups")
-    members = materialise(_members(rows, groups), "jaccard-members")
-    links, parts = link_groups(groups, members)
+    found = materialise(candidate_groups(rows, totals[0], totals[1] or 0), "jaccard-groups")
+    groups, hot = found.where("sig IS NULL").select("gid", "nodes"), found.where("sig IS NOT NULL")
+    slices = materialise(slices_of(hot), "jaccard-slices") if hot.limit(1).count() else None
+    every = groups.select("nodes") if slices is None else groups.select("nodes").unionByName(slices.select("nodes"))
+    members = materialise(_members(rows, every), "jaccard-members")
+    short = materialise(members.select("node", "size", "sketch").dropDuplicates(["node"]), "jaccard-sketches")
+    links, parts = link_groups(groups, short, members)
+    if slices is not None:
+        links, parts = link_slices(slices, short, members, links, parts)
+    if links is None:
+        links = docs.sparkSession.createDataFrame([], "a long, b long")
     nodes = sets.where("node <> 0").groupBy("node").agg(F.min("k").alias("least"))
     if parts is not None:
         nodes = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -514,7 +644,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         nodes = nodes.select("node", F.col("least").alias("component_id"))
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     nodes = materialise(nodes.join(degree, "node", "left"), "jaccard-nodes")
-    drop_table(members)
-    drop_table(groups)
+    for table in (members, short, found):
+        drop_table(table)
     out = sets.join(nodes, "node", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("set_links"))
