@@ -201,9 +201,29 @@ class ByteBpe:
         return np.diff(upto), ids
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, end row, ids per row, all ids) for runs of rows; null is empty."""
+        """(first row, end row, ids per row, all ids) for runs of rows; null is empty.
+
+        A text beyond ``CHUNK_BYTES`` is encoded by windows, cut before spaces
+        that follow a visible ASCII byte: no unit spans those.
+        """
         for first, end, data, offsets in W.text_chunks(column):
-            yield first, end, *self._chunk(data, offsets)
+            if len(data) <= W.CHUNK_BYTES or not self.by_unit:
+                yield first, end, *self._chunk(data, offsets)
+                continue
+            at, ids = 0, []
+            while at < len(data):
+                to = min(at + W.CHUNK_BYTES, len(data))
+                while to < len(data):
+                    part = data[to - 1 : to + 4096]
+                    cuts = np.flatnonzero((part[1:] == 32) & (part[:-1] > 32) & (part[:-1] < 127))
+                    if len(cuts):
+                        to += int(cuts[0])
+                        break
+                    to = min(to + 4096, len(data))
+                ids.append(self._chunk(data[at:to], np.array([0, to - at]))[1])
+                at = to
+            ids = np.concatenate(ids)
+            yield first, end, np.array([len(ids)]), ids
 
 
 _LOADED: dict[str, ByteBpe] = {}

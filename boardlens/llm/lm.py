@@ -8,11 +8,14 @@ Pieces do not cross words, so a text's marginal probability is the product of
 its words', and each distinct word of the corpus goes through the lattice once
 per round instead of once per occurrence.
 
-A word that training texts hold is one more arc over its whole length: its count
-less a discount, over all tokens. The discounts' mass weighs the lattice of
-pieces, so the sum over all arcs is a proper distribution: frequent words keep
-their frequency and new words get what their pieces say. ``lattice_score`` is
-the score of the pieces alone.
+The words of the training texts are pieces, too: of a word that occurs in them
+the lattice has one more arc, over its whole length, weighted by its count less
+a discount, over all tokens; the discounts' mass weighs the segmentations into
+vocabulary pieces. The forward recursion sums over all of these, so ``score`` is
+one proper distribution in which frequent words keep their frequency and new
+words get what their pieces say, and what it learns grows with the corpus (the
+vocabulary's own weights do not). ``lattice_score`` is the score without those
+arcs.
 
 All training texts are counted, all texts are scored. Words that occur often
 (at most ``COMMON_WORDS`` of them, whatever the corpus) travel to the tasks as a
@@ -52,13 +55,10 @@ EM_ROUNDS = 3
 
 
 def _text_words(column: pa.Array):
-    """(first row, rows, lower-cased bytes, starts, ends, row of each word, keys) of runs of rows."""
-    for a, b, data, offsets in W.text_chunks(column):
-        data = W.LOWER[data]
-        start, end, row = W.word_spans(data, offsets)
-        keys = W.span_keys(data, start, end)
+    """(first row, rows, ended, lower-cased bytes, starts, ends, row of each word, keys) of runs of rows, long texts by windows."""
+    for a, rows, ended, data, _, start, end, row, keys in W.word_runs(column):
         keys[keys == 0] = 1
-        yield a, b - a, data, start, end, row, keys
+        yield a, rows, ended, data, start, end, row, keys
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -87,7 +87,7 @@ def count_words(docs: DataFrame, trains: Column, *, text: str = "text") -> DataF
 
         for batch in batches:
             train = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
-            for a, _, data, start, end, row, keys in _text_words(batch.column(0)):
+            for a, _, _, data, start, end, row, keys in _text_words(batch.column(0)):
                 if not len(keys):
                     continue
                 at = table.find(keys)
@@ -228,13 +228,21 @@ def score(docs: DataFrame, trains: Column, vocabulary: str, *, key: str = "doc_i
         table = KeyTable()
         table.insert(keys_c, np.arange(len(keys_c), dtype=np.int32))
         for batch in batches:
-            for a, rows, data, start, end, row, keys in _text_words(batch.column(1)):
+            seen: list[tuple] = []  # of a text that comes in windows
+            for a, rows, ended, data, start, end, row, keys in _text_words(batch.column(1)):
                 at = table.find(keys)
                 hit, rare = at >= 0, np.flatnonzero(at < 0)
                 sums = [np.bincount(row[hit], weights=v[at[hit]], minlength=rows) for v in (base_c, sub_c, whole_c, known_c.astype(float))]
                 many = np.bincount(row, minlength=rows)
                 cuts = np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), _strings(data, start[rare], end[rare]))
+                words = _strings(data, start[rare], end[rare])
+                if seen or not ended:
+                    seen.append((sums, many, words))
+                    if not ended:
+                        continue
+                    sums, many, words = [sum(x) for x in zip(*(h[0] for h in seen), strict=True)], sum(h[1] for h in seen), pa.concat_arrays([h[2] for h in seen])
+                    cuts, seen = np.array([0, len(words)], np.int32), []
+                lists = pa.ListArray.from_arrays(pa.array(cuts), words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, rows), pa.array(many, pa.int64()), pa.array(sums[3].astype(np.int64)), *map(pa.array, sums[:3]), lists],
                     names=["k", "n_words", "n_known", "base", "sub", "whole", "rare"],

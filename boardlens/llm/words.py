@@ -129,6 +129,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE)
     return start, end, row
 
 
+def word_runs(column: pa.Array, apart: np.ndarray = SPACE, carry: int = 0) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, ended, bytes, heads, starts, ends, row of each word, keys) of runs of rows, lower-cased (A-Z).
+
+    Starts and ends are places in ``bytes``, and so is each row's head (where its
+    text begins, below 0 where that was in an earlier window). A text beyond ``CHUNK_BYTES`` comes alone, in windows cut between
+    words: each begins with the last ``carry`` words of the one before (at places
+    below 0), and only the last one has ended.
+    """
+    for first, end, data, offsets in text_chunks(column):
+        if len(data) <= CHUNK_BYTES:
+            data = LOWER[data]
+            start, stop, row = word_spans(data, offsets, apart)
+            yield first, end - first, True, data, offsets[:-1], start, stop, row, span_keys(data, start, stop)
+            continue
+        at = 0
+        tail = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        while at < len(data):
+            to = min(at + CHUNK_BYTES, len(data))
+            while to < len(data):  # up to the end of the word
+                gap = np.flatnonzero(apart[data[to : to + 4096]])
+                if len(gap):
+                    to += int(gap[0])
+                    break
+                to = min(to + 4096, len(data))
+            part = LOWER[data[at:to]]
+            start, stop, _ = word_spans(part, np.array([0, len(part)]), apart)
+            keys = span_keys(part, start, stop)
+            start, stop, keys = np.concatenate([tail[0] - at, start]), np.concatenate([tail[1] - at, stop]), np.concatenate([tail[2], keys])
+            yield first, 1, to == len(data), part, np.array([-at]), start, stop, np.zeros(len(start), np.int64), keys
+            tail = (start[-carry:] + at, stop[-carry:] + at, keys[-carry:]) if carry else tail
+            at = to
+
+
 def ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values as int64 with 0 for null, validity) of an integer column."""
     if isinstance(column, pa.ChunkedArray):
