@@ -7,6 +7,10 @@ same bytes under the same names, so lost executors cost repetition and nothing
 else. The manifest (one row per file) is the only thing the driver handles, as
 a table.
 
+A manifest answers by ranged reads of its files: ``token_at`` which ids are at
+given places of all ids, ``count_tokens`` how often ids occur, ``find_token``
+where one occurs.
+
 Nulls, ties and odd rows: a null text is empty; null keys come first; rows with
 equal keys are kept, ordered by text; an empty table gives an empty manifest;
 further columns are ignored.
@@ -107,6 +111,65 @@ def read_token_shards(manifest: DataFrame, *, with_ids: bool = True) -> DataFram
                     cols["ids"] = pa.array([ids[a:b].tobytes() for a, b in cut], pa.binary())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    files = shard_starts(manifest)
-    files = files.repartition(max(1, min(manifest.count(), 4096)), "path")  # a row per file
-    return files.mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return _spread(shard_starts(manifest), "path", "start").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+def token_at(manifest: DataFrame, places: DataFrame, *, place: str = "place") -> DataFrame:
+    """(place, token) of the distinct ``places`` among all ids; places outside them, and null, have none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, starts, wanted = (batch.column(c).to_pylist() for c in ("path", "start", "place"))
+            tokens, at = [], 0
+            while at < len(batch):  # rows are in order of path
+                end = at
+                with shared.open_ranges(paths[at]) as ranges:
+                    shard = wavelet.Shard(ranges)
+                    while end < len(batch) and paths[end] == paths[at]:
+                        tokens.append(shard.access(wanted[end] - starts[end]))
+                        end += 1
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(tokens, pa.int64())], names=["place", "token"])
+
+    # Files and places meet by runs of SHARD_TOKENS places: a file lies in few of them.
+    run = lambda c: F.floor(c / SHARD_TOKENS)
+    files = shard_starts(manifest).withColumn("run", F.explode(F.sequence(run(F.col("start")), run(F.col("start") + F.col("n_tokens") - 1))))
+    wanted = places.select(F.col(place).cast("long").alias("place")).distinct().withColumn("run", run(F.col("place")))
+    met = wanted.join(files, "run").where("place >= start AND place < start + n_tokens").select("path", "start", "place")
+    return met.repartition("path").sortWithinPartitions("path", "place").mapInArrow(read, "place long, token long")
+
+
+def count_tokens(manifest: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n) of the given ids over all files."""
+    tokens = sorted(set(tokens))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with shared.open_ranges(path) as ranges:
+                    shard = wavelet.Shard(ranges)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([shard.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    each = _spread(manifest, "path").mapInArrow(read, "token long, n long")
+    asked = manifest.sparkSession.createDataFrame([(t,) for t in tokens], "token long")
+    return asked.join(each.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def find_token(manifest: DataFrame, token: int) -> DataFrame:
+    """(place): where ``token`` occurs among all ids."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with shared.open_ranges(path) as ranges:
+                    shard = wavelet.Shard(ranges)
+                    n = shard.count(token)
+                    for k in range(0, n, 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array([start + shard.select(token, i) for i in range(k, min(n, k + 10_000))], pa.int64())], names=["place"])
+
+    return _spread(shard_starts(manifest), "path", "start").mapInArrow(read, "place long")
+
+
+def _spread(files: DataFrame, *columns: str) -> DataFrame:
+    """A row per file, dealt out to as many tasks as there are files (4,096 at most)."""
+    return files.select(*columns).repartition(max(1, min(files.count(), 4096)), "path")

@@ -5,12 +5,15 @@ highest bit first. Below a plane the ids whose bit is 0 come before those whose
 bit is 1, each side in its order, so a few rank steps answer *which id is at i*,
 *how many of an id lie in a range* and *where is its k-th place* without
 decoding the shard. Planes are stored in blocks, each compressed by itself, with
-the count of ones before it; a query decompresses only the blocks it touches.
+the count of ones before it; a query reads and decompresses only the blocks it
+touches, and holds a bounded number of them with their counts by byte.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import OrderedDict
+from collections.abc import Callable
 
 import numpy as np
 import zstandard
@@ -18,6 +21,8 @@ import zstandard
 MAGIC = b"BLWM0001"
 #: Bits of a plane that are compressed together.
 BLOCK_BITS = 1 << 17
+#: Blocks that a reader holds at most (about 80 KB each).
+HELD_BLOCKS = 256
 
 
 def _pack(data: bytes) -> bytes:
@@ -64,37 +69,56 @@ def write_shard(ids: np.ndarray, doc_ids: np.ndarray, doc_valid: np.ndarray, len
 
 
 class Shard:
-    """Reader of one shard file's bytes."""
+    """Reader of one shard file: its bytes, or a function that reads (place, size) of them."""
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    def __init__(self, raw: bytes | Callable[[int, int], bytes]):
+        self._read = raw if callable(raw) else lambda at, size: raw[at : at + size]
+        head = self._read(0, 24)
+        if head[:8] != MAGIC:
             raise ValueError("not a token shard")
-        n_meta, n_docs = struct.unpack_from("<QQ", raw, 8)
-        at = 24
-        self.n, self.bits, docs, blocks = struct.unpack_from("<QQQQ", raw, at)
-        at += 32
+        n_meta, n_docs = struct.unpack_from("<QQ", head, 8)
+        meta = self._read(24, n_meta)
+        self.n, self.bits, docs, blocks = struct.unpack_from("<QQQQ", meta)
+        at = 32
         self.zeros, self.table = [], []
         for _ in range(self.bits):
-            self.zeros.append(struct.unpack_from("<Q", raw, at)[0])
-            self.table.append(np.frombuffer(raw, "<i8", 3 * blocks, at + 8).reshape(blocks, 3))
+            self.zeros.append(struct.unpack_from("<Q", meta, at)[0])
+            self.table.append(np.frombuffer(meta, "<i8", 3 * blocks, at + 8).reshape(blocks, 3))
             at += 8 + 24 * blocks
-        tab = _unpack(raw[24 + n_meta : 24 + n_meta + n_docs])
-        self.doc_ids = np.frombuffer(tab, "<i8", docs)
-        self.doc_valid = np.frombuffer(tab, np.uint8, docs, 8 * docs).astype(bool)
-        self.lengths = np.frombuffer(tab, "<i8", docs, 9 * docs)
-        self._raw, self._body = raw, 24 + n_meta + n_docs
-        self._held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self._docs, self._body, self._many = (24 + n_meta, n_docs), 24 + n_meta + n_docs, docs
+        self._held: OrderedDict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+    def _column(self, at: int, kind) -> np.ndarray:
+        return np.frombuffer(_unpack(self._read(*self._docs)), kind, self._many, at * self._many)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._column(0, "<i8")
+
+    @property
+    def doc_valid(self) -> np.ndarray:
+        return self._column(8, np.uint8).astype(bool)
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._column(9, "<i8")
 
     def __len__(self) -> int:
         return self.n
 
+    def _packed(self, plane: int, k: int) -> bytes:
+        at, size, _ = (int(x) for x in self.table[plane][k])
+        return _unpack(self._read(self._body + at, size))
+
     def _block(self, plane: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bits of block k of a plane, ones before each of them)."""
-        got = self._held.get((plane, k))
+        """(bytes of block k of a plane, ones of the plane before each of them and after the last)."""
+        got = self._held.pop((plane, k), None)
         if got is None:
-            at, size, before = (int(x) for x in self.table[plane][k])
-            bits = np.unpackbits(np.frombuffer(_unpack(self._raw[self._body + at : self._body + at + size]), np.uint8))
-            got = self._held[plane, k] = bits, before + np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+            octets = np.frombuffer(self._packed(plane, k), np.uint8)
+            got = octets, int(self.table[plane][k, 2]) + np.concatenate([[0], np.cumsum(np.bitwise_count(octets), dtype=np.int64)])
+            if len(self._held) >= HELD_BLOCKS:
+                self._held.popitem(last=False)
+        self._held[plane, k] = got
         return got
 
     def _rank1(self, plane: int, i: int) -> int:
@@ -102,7 +126,13 @@ class Shard:
         if i == 0:
             return 0
         k = (i - 1) // BLOCK_BITS
-        return int(self._block(plane, k)[1][i - k * BLOCK_BITS])
+        octets, before = self._block(plane, k)
+        byte, bit = divmod(i - k * BLOCK_BITS, 8)
+        return int(before[byte]) + (int(octets[byte]) >> (8 - bit)).bit_count() if bit else int(before[byte])
+
+    def _bit(self, plane: int, i: int) -> int:
+        byte, bit = divmod(i % BLOCK_BITS, 8)
+        return int(self._block(plane, i // BLOCK_BITS)[0][byte]) >> (7 - bit) & 1
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -110,8 +140,7 @@ class Shard:
             raise IndexError(i)
         value = 0
         for p in range(self.bits):
-            k = i // BLOCK_BITS
-            bit = int(self._block(p, k)[0][i - k * BLOCK_BITS])
+            bit = self._bit(p, i)
             one = self._rank1(p, i)
             i = self.zeros[p] + one if bit else i - one
             value = 2 * value + bit
@@ -136,8 +165,11 @@ class Shard:
         if not bit:
             before = np.arange(len(before)) * BLOCK_BITS - before
         b = int(np.searchsorted(before, k, side="right")) - 1
-        bits, _ = self._block(plane, b)
-        return b * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - int(before[b])])
+        octets, ones = self._block(plane, b)
+        upto = ones if bit else b * BLOCK_BITS + 8 * np.arange(len(ones)) - ones
+        byte = int(np.searchsorted(upto, k, side="right")) - 1
+        bits = np.unpackbits(octets[byte : byte + 1])
+        return b * BLOCK_BITS + 8 * byte + int(np.flatnonzero(bits == bit)[k - int(upto[byte])])
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of ``token``."""
@@ -155,7 +187,7 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         cur = np.zeros(self.n, kind)
         for p in range(self.bits - 1, -1, -1):
-            packed = b"".join(_unpack(self._raw[self._body + a : self._body + a + s]) for a, s in self.table[p][:, :2].tolist())
+            packed = b"".join(self._packed(p, k) for k in range(len(self.table[p])))
             one = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool)
             out = np.empty(self.n, kind)
             out[np.flatnonzero(~one)] = cur[: self.zeros[p]]
