@@ -11,9 +11,10 @@ is packed best-fit-decreasing into patterns of their own. Then the k-th document
 of a class takes the class's k-th slot, counted through the patterns in order.
 
 The rank of a document in its class is found without bringing a class together:
-keys are hashed into buckets, documents are ranked inside (class, bucket), and
-the buckets' sizes add up to offsets. So a length that a third of all documents
-share costs no more than any other.
+rows are written once with a number of their own and hashed by it into buckets,
+documents are ranked inside (class, bucket), and the buckets' sizes add up to
+offsets. So neither a length nor a key that a third of all documents share costs
+more than any other, and a task that runs again ranks its rows as before.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardlens.llm.shared import materialise
+
+#: What :func:`pack` adds.
+ADDED = ("piece", "start", "piece_length", "sequence_id", "offset")
 #: Rows of one (class, bucket) group at which more buckets are taken.
 ROWS_PER_BUCKET = 200_000
 
@@ -121,17 +126,18 @@ def pack(docs: DataFrame, length: str, key: str, *, size: int = 2048, grain: int
 
     Returns the rows of ``docs``, one per piece, with ``piece`` (number in the
     document), ``start``, ``piece_length``, ``sequence_id`` and ``offset``.
-    Rows without ids (null or 0) have no piece; rows that share a key are
-    packed as documents of their own; an empty table gives no pieces. Names
-    beginning with ``_pk_`` are reserved. ``docs`` is read three times: give a
-    materialised table.
+    Rows without ids (null or 0) have no piece; rows that share a key, or repeat,
+    are packed as documents of their own; an empty table gives no pieces. Names
+    beginning with ``_pk_`` are reserved, columns named as the results are
+    replaced.
     """
     n = F.coalesce(F.col(length).cast("long"), F.lit(0))
-    rows = docs.where(n > 0).withColumns({"_pk_full": F.floor(n / size).cast("long"), "_pk_rest": (n % size).cast("long")})
-    rows = rows.withColumn("_pk_class", F.ceil(F.col("_pk_rest") / grain).cast("int"))
+    rows = docs.where(n > 0).withColumns({"_pk_full": F.floor(n / size).cast("long"), "_pk_rest": (n % size).cast("long"), "_pk_row": F.monotonically_increasing_id()})
+    rows = rows.withColumn("_pk_class", F.ceil(F.col("_pk_rest") / grain).cast("int")).drop(*[c for c in ADDED if c != key])
+    rows = materialise(rows, "packing-rows")
     hist = {r[0]: r[1] for r in rows.groupBy("_pk_class").count().collect()}  # at most size / grain + 1 rows
     buckets = int(min(1 << 14, max(64, max(hist.values(), default=0) // ROWS_PER_BUCKET)))
-    rows = rows.withColumn("_pk_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_pk_bucket", F.pmod(F.xxhash64("_pk_row"), F.lit(buckets)).cast("int"))
 
     plan = plan_patterns({c: k for c, k in hist.items() if c}, size // grain)
     slots, sequences, filled = [], 0, {}
@@ -160,11 +166,11 @@ def pack(docs: DataFrame, length: str, key: str, *, size: int = 2048, grain: int
         F.coalesce(F.sum("_pk_n").over(upto), F.lit(0)).alias("_pk_n0"),
         (F.coalesce(F.sum("_pk_f").over(upto), F.lit(0)) + base_of[F.col("_pk_class")]).alias("_pk_f0"),
     )
-    group = Window.partitionBy("_pk_class", "_pk_bucket").orderBy(key)
+    group = Window.partitionBy("_pk_class", "_pk_bucket").orderBy(key, "_pk_row")
     ranked = rows.withColumns({"_pk_k": F.row_number().over(group).cast("long") - 1, "_pk_fb": F.coalesce(F.sum("_pk_full").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     ranked = ranked.join(sums, ["_pk_class", "_pk_bucket"]).withColumns({"_pk_k": F.col("_pk_k") + F.col("_pk_n0"), "_pk_f0": F.col("_pk_f0") + F.col("_pk_fb")})
 
-    own = docs.columns
+    own = [c for c in rows.columns if not c.startswith("_pk_") and c not in ADDED]
     whole = ranked.where(F.col("_pk_full") > 0).select(*own, "_pk_f0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pk_full") - 1)).alias("piece"))
     whole = whole.select(*own, "piece", (F.col("piece") * size).alias("start"), F.lit(size).cast("long").alias("piece_length"), (F.col("_pk_f0") + F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
