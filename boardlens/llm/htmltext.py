@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from boardlens.llm.shared import free_name
+from boardlens.llm.shared import numbered
 
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
@@ -316,5 +316,5 @@ def extract(pages: DataFrame, *, source: str = "html", out: str = "text") -> Dat
             texts = pa.array([main_text(batch.column(len(keep))[i].as_py()) for i in range(len(batch))], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), texts], names=[*keep, out])
 
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").cast("string").alias(free_name(keep, "html")))
+    rows = numbered(pages, keep, F.col(f"`{source}`").cast("string"))
     return rows.mapInArrow(run, StructType([*(pages.schema[c] for c in keep), StructField(out, StringType())]))

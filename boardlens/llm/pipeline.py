@@ -84,7 +84,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents' token ids cut and packed: one row per piece."""
     ensure_importable(spark)
     counted = token_pieces.token_pieces(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), END_ID, SEQUENCE)
-    pieces = packing.pack(materialise(counted, "packing"), "doc_tokens", "doc_id", size=SEQUENCE)
+    pieces = packing.pack(counted, "doc_tokens", "doc_id", size=SEQUENCE)
     crc = F.element_at("piece_crcs", (F.col("piece") + 1).cast("int"))
     return pieces.select("doc_id", "start", F.col("piece_length").alias("length"), crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

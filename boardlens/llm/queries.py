@@ -108,7 +108,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardlens.llm import packing, token_pieces
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = shared.materialise(token_pieces.token_pieces(docs, tokenizer_file(BYTE_BPE), 1, 2048), "packing")
+    counted = token_pieces.token_pieces(docs, tokenizer_file(BYTE_BPE), 1, 2048)
     pieces = packing.pack(counted, "doc_tokens", "doc_id")
     crc = F.element_at("piece_crcs", (F.col("piece") + 1).cast("int"))
     return pieces.select("doc_id", "start", F.col("piece_length").alias("length"), crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -6,17 +6,20 @@ executors writes are handled here.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from boardlens.sources.scratch import drop_dir, drop_table, materialise, new_dir
 
-__all__ = ["drop_dir", "drop_table", "free_name", "materialise", "new_dir", "open_fs", "read_bytes", "write_bytes"]
+__all__ = ["drop_dir", "drop_table", "materialise", "new_dir", "numbered", "open_fs", "open_ranges", "read_bytes", "write_bytes"]
 
 
-def free_name(columns: list[str], name: str) -> str:
-    """``name``, with as many underscores after it as make it none of ``columns`` (whatever their case)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def numbered(docs: DataFrame, keep: list[str], *extra: Column) -> DataFrame:
+    """The columns ``keep`` under plain names of their places (whatever theirs are), and ``extra`` ones."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in keep] + list(extra)
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def open_fs(uri: str):
@@ -47,6 +50,14 @@ def write_bytes(uri: str, data: bytes, attempt: str) -> None:
     fs.move(temp, path)
 
 
+@contextmanager
+def open_ranges(uri: str):
+    """A function that reads (place, size) of a file."""
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as f:
+        yield lambda at, size: f.read_at(size, at)
+
+
 def read_bytes(uri: str) -> bytes:
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:

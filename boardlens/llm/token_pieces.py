@@ -8,19 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from boardlens.llm import bpe
+from boardlens.llm.shared import numbered
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``doc_tokens`` (end id included) and ``piece_crcs``.
 
     ``piece_crcs`` holds the unsigned CRC32 of each run of ``size`` ids (the last
-    may be shorter) as little-endian unsigned 32-bit integers. A null text is
-    empty: one id, the end.
+    may be shorter) as little-endian unsigned 32-bit integers. A null or empty
+    text has one id, the end; rows that repeat are counted each; an empty table
+    gives an empty result; columns may have any names, those named as the results
+    are replaced.
     """
-    keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    keep = [c for c in docs.columns if c not in (text, "doc_tokens", "piece_crcs")]
+    rows = numbered(docs, keep, F.col(f"`{text}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -37,5 +41,5 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, tex
                     names=[*keep, "doc_tokens", "piece_crcs"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return rows.mapInArrow(run, f"{schema}, doc_tokens long, piece_crcs array<long>")
+    out = [StructField("doc_tokens", LongType()), StructField("piece_crcs", ArrayType(LongType()))]
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *out]))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from boardlens.llm.shared import free_name
+from boardlens.llm.shared import numbered
 
 HASH_BITS = 20
 ORDERS = (3, 4, 5, 6, 7)
@@ -227,12 +227,9 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
             p = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(p, pa.float64())], names=[*keep, out])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    at = len(keep)
-    if text in keep and docs.schema[text].dataType == StringType():
-        at = keep.index(text)
-    else:
-        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(free_name(keep, "text")))
+    plain = text in keep and docs.schema[text].dataType == StringType()
+    at = keep.index(text) if plain else len(keep)
+    rows = numbered(docs, keep, *[] if plain else [F.col(f"`{text}`").cast("string")])
     return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField(out, DoubleType())]))
 
 

@@ -47,7 +47,11 @@ def docs(spark, corpus):
     return spark.createDataFrame(corpus, "doc_id long, text string, source string").withColumn("n", F.lit(1)).repartition(3).cache()
 
 
-def test_jaccard_equals_brute_force(spark, docs, corpus):
+@pytest.mark.parametrize("hot", [jaccard.HOT_SETS, 6])
+def test_jaccard_equals_brute_force(spark, docs, corpus, monkeypatch, hot):
+    if hot < jaccard.HOT_SETS:  # groups in slices
+        for name, value in (("HOT_SETS", hot), ("SLICE_SETS", 9), ("HELD_SIGS", 500)):
+            monkeypatch.setattr(jaccard, name, value)
     sets = {}
     for i, t, _ in corpus:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
@@ -117,6 +121,69 @@ def test_token_shards_round_trip(spark, docs, corpus, tmp_path):
     assert tokens.read_token_shards(none).count() == 0
 
 
+def test_shards_answer_by_ranges(spark, docs, corpus, tmp_path):
+    from tokenizers import Tokenizer
+
+    m = tokens.write_token_shards(docs, f"file://{tmp_path}/r", tokenizer_file(BPE), 2, shard_tokens=300)
+    coder = Tokenizer.from_file(tokenizer_file(BPE))
+    ids = [x for _, t, _ in corpus for x in [*coder.encode(t or "", add_special_tokens=False).ids, 2]]
+    places = [0, 1, 299, 300, 5000, len(ids) - 1]
+    got = tokens.token_at(m, spark.createDataFrame([(p,) for p in [*places, 5000, len(ids), -1, None]], "place long"))
+    assert sorted((r["place"], r["token"]) for r in got.collect()) == [(p, ids[p]) for p in places]
+    often = Counter(ids).most_common(1)[0][0]
+    counted = {r["token"]: r["n"] for r in tokens.count_tokens(m, [2, often, 49_000, 2]).collect()}
+    assert counted == {t: ids.count(t) for t in {2, often, 49_000}}
+    assert sorted(r["place"] for r in tokens.find_token(m, 2).collect()) == [i for i, x in enumerate(ids) if x == 2]
+
+
+def test_texts_of_megabytes(spark):
+    """A text of several windows through the operators that read by windows."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    words = [prose(rng, 1) for _ in range(3000)]
+    item = prose(rng, 30)
+    w = [rng.choice(words) for _ in range(500_000)]
+    w[400_000:400_000] = item.split()
+    text = " ".join(w)
+    assert len(text) > 2 << 20
+    d = spark.createDataFrame([(1, text), (2, "a b c d e f g"), (3, " ".join(w[:-1]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(d).collect()}
+    assert got[1]["n_shingles"] == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) and got[3]["component_id"] == 1
+    found = decontaminate.find_overlaps(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["n_equal"]) for r in sorted(found)] == [(1, 30), (3, 30)]
+    assert all(text.encode()[r["start_byte"] : r["end_byte"]].decode() == item for r in found)
+    ids = np.array(Tokenizer.from_file(tokenizer_file(BPE)).encode(text, add_special_tokens=False).ids + [1], "<u4")
+    p = token_pieces.token_pieces(d, tokenizer_file(BPE), 1, 2048).where("doc_id = 1").first()
+    assert p["doc_tokens"] == len(ids) and p["piece_crcs"] == [zlib.crc32(ids[i : i + 2048]) for i in range(0, len(ids), 2048)]
+    s = {r["doc_id"]: r for r in lm.score(d, F.col("doc_id") < 3, tokenizer_file("piece_bpe_32k.model"), rounds=1).collect()}
+    c = Counter([*w, *"abcdefg", "\0", "\0"])
+    n, v = sum(c.values()), len(c)
+    assert s[1]["n_tokens"] == len(w) + 1 and s[1]["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, "\0"]))
+
+
+def test_packed_ids_are_the_tokenizers(spark, docs, corpus):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(tokenizer_file(BPE))
+    same = spark.createDataFrame([(500, "many rows of one key")] * 40 + [(None, None)] * 3, "doc_id long, text string")
+    counted = token_pieces.token_pieces(docs.select("doc_id", "text").union(same).withColumns({"piece": F.lit("x"), "offset": F.lit(1.5), "doc_tokens": F.lit("y"), "text_": F.lit("z")}), tokenizer_file(BPE), 1, 64)
+    pieces = packing.pack(counted, "doc_tokens", "doc_id", size=64, grain=2)
+    assert "text_" in pieces.columns and pieces.columns.count("piece") == pieces.columns.count("offset") == 1
+    rows = pieces.withColumn("crc", F.element_at("piece_crcs", (F.col("piece") + 1).cast("int"))).collect()
+    texts = {i: t or "" for i, t, _ in corpus} | {500: "many rows of one key", None: ""}
+    ids = {i: np.array(coder.encode(t, add_special_tokens=False).ids + [1], "<u4") for i, t in texts.items()}
+    seen, used = Counter(), Counter()
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert r["crc"] == zlib.crc32(x[r["start"] : r["start"] + r["piece_length"]]) and r["doc_tokens"] == len(x)
+        seen[r["doc_id"]] += r["piece_length"]
+        used[r["sequence_id"]] += r["piece_length"]
+    assert seen == {i: len(x) * {500: 40, None: 3}.get(i, 1) for i, x in ids.items()}
+    total = sum(used.values())
+    assert max(used.values()) <= 64 and sorted(used) == list(range(len(used))) and 64 * len(used) <= 1.1 * total + 64 * 30
+
+
 def test_packing_is_gapless(spark, docs):
     counted = shared.materialise(token_pieces.token_pieces(docs.select("doc_id", "text"), tokenizer_file(BPE), 1, 256), "t")
     assert counted.where("text IS NULL").count() == 0 if "text" in counted.columns else True
@@ -186,6 +253,47 @@ def test_lm_scores(spark, docs, corpus):
     assert df.count() == len(known)
 
 
+def test_lm_score_sums_over_all_segmentations(spark):
+    """The same model by brute force: every segmentation of every word listed, in fitting and in scoring."""
+    from boardlens.llm.lattice import load_pieces
+
+    vocabulary = tokenizer_file("piece_bpe_32k.model")
+    texts = ["the then thee thee", "net ten the", "tent tHe nett", None, "new then"]
+    train = texts[:4]
+    pieces, prior = load_pieces(vocabulary)
+    place = {p: i for i, p in enumerate(pieces)}
+
+    def segments(b):
+        return [[]] if not b else [[place[b[:i]], *rest] for i in range(1, len(b) + 1) if b[:i] in place for rest in segments(b[i:])]
+
+    split = lambda t: (t or "").lower().split()
+    c = Counter(w for t in train for w in split(t))
+    every = {w: segments(b" " + w.encode()) for t in texts for w in split(t)}
+    logp = prior
+    for _ in range(lm.EM_ROUNDS):
+        uses = np.zeros(len(pieces))
+        for w in c:
+            p = np.exp([sum(logp[i] for i in s) for s in every[w]])
+            for s, share in zip(every[w], p / p.sum(), strict=True):
+                for i in s:
+                    uses[i] += share
+        mass = uses + lm.PRIOR_PIECES * np.exp(prior)
+        logp = np.log(mass / mass.sum())
+    n = sum(c.values()) + len(train)
+    once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+    less = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    sub = {w: sum(math.exp(sum(logp[i] for i in s)) for s in ss) for w, ss in every.items()}
+    whole = {w: max(c[w] - less, 0) / n + max(less * len(c), 1) / n * sub[w] for w in every}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(d, F.col("doc_id") < 4, vocabulary).collect()}
+    for i, t in enumerate(texts):
+        end = math.log10(len(train) / n)
+        assert got[i]["score"] == pytest.approx(end + sum(math.log10(whole[w]) for w in split(t)), rel=1e-6)
+        assert got[i]["lattice_score"] == pytest.approx(end + sum(math.log10(sub[w]) for w in split(t)), rel=1e-6)
+    null = lm.score(spark.createDataFrame([(None, "the"), (None, "the")], "doc_id long, text string"), F.col("doc_id") < 4, vocabulary).collect()
+    assert [r["train_tokens"] for r in null] == [0, 0]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
@@ -251,6 +359,19 @@ def test_secrets(spark):
     assert secrets.find_secrets(d.limit(0)).count() == 0
 
 
+def test_repositories_and_many_matches(spark):
+    mine, both, spread = "q8Zr4Tn2Wx7Lp9Va", "q8Zr4Tn2Wx7Lp9Vb", "q8Zr4Tn2Wx7Lp9Vc"
+    rows = [(i, f"token = {mine}", "o1", f"r{i}") for i in range(9)] + [(20 + i, f"token = {both}", f"o{i}", "r1") for i in range(2)] + [(30 + i, f"token = {spread}", f"o{i % 2}", f"r{i}") for i in range(6)]
+    many = " ".join(f"token=abc{i:06d}x" for i in range(3000))
+    d = spark.createDataFrame([*rows, (99, many, "o7", "r7"), (100, many, None, None)], "doc_id long, text string, owner string, repo string")
+    got = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(d.withColumns({"secrets": F.lit(1), "base": F.lit("x")}), repo="repo", owner="owner").collect()}
+    verdict = lambda i: {s["verdict"] for s in got[i] if s["kind"] == 0}
+    # One owner in many repositories is an owner's own; two owners in few are, too; two in many copy an example.
+    assert verdict(0) == {"live"} and verdict(20) == {"live"} and verdict(30) == {"example"}
+    want = [(m.start(), m.end()) for m in ASSIGN.finditer(many)]
+    assert [(s["start"], s["end"]) for s in got[99] if s["kind"] == 0] == want and len(want) == 3000
+
+
 def test_private_keys_count_by_their_bodies(spark):
     rng = random.Random(21)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -294,6 +415,98 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    rng = random.Random(19)
+    rows = [(i, prose(rng, 30) + (" klotzmurks" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d)
+    long = "x" * 3_000_000
+    odd = spark.createDataFrame([(1, long + " klotzmurks"), (2, None), (2, ""), (None, "klotzmurks"), (None, "klotzmurks"), (5, long)], "doc_id long, text string")
+    odd = odd.withColumns({"score": F.lit("was"), "_text": F.lit(1), "text_": F.lit(2), "a.b": F.lit(3)})
+    out = toxicity.score(odd, model)
+    assert out.columns == ["doc_id", "text", "_text", "text_", "a.b", "score"] and out.dtypes[-1] == ("score", "double")
+    got = sorted(((r["doc_id"] or 0, len(r["text"] or ""), round(r["score"], 6)) for r in out.collect()))
+    assert got[0] == got[1] and got[0][2] > 0.5  # rows that repeat, without a key
+    by = {(k, n): s for k, n, s in got}
+    assert by[1, len(long) + 11] > 0.5 > by[5, len(long)] and len({s for k, _, s in got if k == 2}) == 1
+    other = toxicity.score(odd, model, out="p").columns
+    assert other == ["doc_id", "text", "score", "_text", "text_", "a.b", "p"]
+    flags = spark.createDataFrame([(None,), (3,)], "doc_id long").select((~toxicity.learnable(F.col("doc_id"))).alias("h")).collect()
+    assert flags[0]["h"] is False and flags[1]["h"] is not None
+
+
+def test_pages_of_odd_rows(spark):
+    d = spark.createDataFrame([(None, "<p>The text is here.</p>", "x"), (None, "<p>The text is here.</p>", "x")], "page_id long, html string, text string")
+    got = htmltext.extract(d.withColumns({"_html": F.lit(1), "html_": F.lit(2)}))
+    assert got.columns == ["page_id", "_html", "html_", "text"] and [tuple(r) for r in got.collect()] == [(None, 1, 2, "The text is here.")] * 2
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Near duplicates, decontamination and secrets of the pipeline against plain Python, on their own inputs."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(41)
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    items = [prose(rng, n) for n in (30, 18)]
+    base = [prose(rng, 60) for _ in range(12)]
+    texts = []
+    for i in range(90):
+        w = rng.choice(base).split() if i % 2 else prose(rng, 50).split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(99)}"
+        if i % 7 == 0:
+            w[9:9] = items[i % 2].split()
+        if i % 5 == 0:
+            w += ["token", "=", f"Sec{i % 3 if i % 10 else i}ret77Xq"]
+        texts.append(" ".join(w))
+    texts += [None, ""]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+
+    sets = [frozenset(tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)) for t in texts]
+    head = list(range(len(texts)))
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                head[b] = a
+    got = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, sf).collect()}
+    assert got == {i for i in range(len(texts)) if find(i) == i} and len(got) < len(texts)
+
+    def leaks(t):
+        w = words(t)
+        for item in (words(x) for x in items):
+            for d in range(-len(item), len(w)):
+                run = n = 0
+                for a in range(max(0, -d), min(len(item), len(w) - d)):  # ten equal words among thirteen
+                    part = range(a, min(a + 13, len(item), len(w) - d))
+                    run = sum(item[b] == w[b + d] for b in part)
+                    n = max(n, run)
+                if n >= 10:
+                    return True
+        return False
+
+    got = {r["doc_id"] for r in cp.drop_contaminated(spark, docs, sf).collect()}
+    assert got == {i for i, t in enumerate(texts) if not leaks(t)} and len(got) < len(texts)
+
+    owners: dict[str, set] = {}
+    for i, t in enumerate(texts):
+        for m in ASSIGN.finditer(t or ""):
+            owners.setdefault(m[2], set()).add(f"s{i % 4}")
+    masked = [t and ASSIGN.sub(lambda m: cp.MASK if len(owners[m[2]]) < 3 else m[0], t) for t in texts]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.mask_secrets(spark, docs, sf).collect()}
+    assert got == {i: (t, len(t or "")) for i, t in enumerate(masked)} and any(cp.MASK in (t or "") for t in masked) and any("token =" in (t or "") for t in masked)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -239,6 +239,89 @@ def test_keys_of_long_texts_by_windows(monkeypatch):
     assert (W.span_keys(data, start, end) == whole).all() and len(set(whole.tolist())) > 1000
 
 
+def test_long_texts_come_in_windows(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcÄé1.-") for _ in range(rng.randint(1, 9))) + rng.choice(["", "\t", "\n "]) for _ in range(n)) for n in (900, 3, 0, 400, 6)] + [None, "x" * 2000, " " * 700]
+    column = pa.array(texts, pa.string())
+    coder = bpe.load(tokenizer_file("byte_bpe_50k.json"))
+
+    def words():
+        found: list[list] = [[] for _ in texts]
+        for a, _, _, data, heads, start, end, row, keys in W.word_runs(column):
+            for r, s, e, k in zip(row.tolist(), start.tolist(), end.tolist(), keys.tolist(), strict=True):
+                found[a + r].append((s - int(heads[r]), e - int(heads[r]), bytes(data[s:e]), k))
+        return found
+
+    sets = lambda: [(a, n, row.tolist(), h.tolist(), size.tolist(), key.tolist()) for a, n, row, h, size, key in jaccard._sets(column)]
+    flat = lambda runs: sorted((a + r, x, s, k) for a, _, row, h, size, key in runs for r, x in zip(row, h, strict=True) for s, k in [(size[r], key[r])])
+    ids = lambda: [i for _, _, _, i in coder.encode(column)]
+    whole = words(), flat(sets()), np.concatenate(ids()).tolist()
+    monkeypatch.setattr(W, "CHUNK_BYTES", 256)
+    monkeypatch.setattr(W.text_chunks, "__defaults__", (256,))
+    assert (words(), flat(sets()), np.concatenate(ids()).tolist()) == whole
+    assert len(list(W.word_runs(column))) > 20
+    carried = [keys for *_, keys in W.word_runs(column, carry=3)]
+    assert carried[1][:3].tolist() == carried[0][-3:].tolist()
+
+
+def brute_stretch(item, text, d):
+    """(equal words, words, first place, first item word) of the best stretch of one diagonal, by trying all."""
+    at = range(max(0, -d), min(len(item), len(text) - d))
+    best = (0, 0, 0, 0)
+    for a in at:
+        n = 0
+        for b in range(a, at.stop):
+            n += item[b] == text[b + d]
+            score = n - 2 * (b + 1 - a - n)
+            if score > best[0]:
+                best = (score, b + 1 - a, a + d, a)
+    score, long, place, first = best
+    return (score + 2 * long) // 3, long, place, first
+
+
+def test_overlaps_equal_all_alignments():
+    """Every text against every item at every alignment; also short items, repeated words, several places."""
+    rng = random.Random(23)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40))
+    items = [[word() for _ in range(n)] for n in (40, 25, 16, 13, 12, 11, 10, 9, 8, 7, 6, 5)] + [["go"] * 14]
+    texts = []
+    for k, item in enumerate(items):
+        for gone in range(3):
+            t = [word() for _ in range(60)]
+            p = list(item)
+            for g in range(gone):
+                p[(2 + 5 * g + k) % len(p)] = "zz"
+            t[20:20] = p
+            if gone == 1:
+                t[90:90] = p
+            texts.append(t)
+    texts += [["go"] * 40, [word() for _ in range(200)], []]
+    index = decontaminate.SeedIndex(list(range(len(items))), [" ".join(i) for i in items])
+    column = pa.array([" ".join(t) for t in texts])
+    ((_, _, _, _, _, _, _, row, keys),) = list(W.word_runs(column, W.SPACE_PUNCT))
+    got: dict = {}
+    for r, i, n, long, place, first in decontaminate.apart(decontaminate.stretches(index, keys, row)):
+        got.setdefault((r, i), []).append((n, long, place - int(np.searchsorted(row, r)), first))
+    seen = 0
+    for r, t in enumerate(texts):
+        for i, item in enumerate(items):
+            need = min(decontaminate.MIN_MATCH, -(-len(item) * 4 // 5))
+            found = [x for d in range(-len(item), len(t)) if (x := brute_stretch(item, t, d))[0] >= need and x[0] >= decontaminate.MIN_IDENTITY * x[1]]
+            if not found:
+                assert (r, i) not in got
+                continue
+            mine = got.get((r, i), [])
+            if (r, i) != (len(texts) - 3, len(items) - 1):
+                assert sorted(x[0] for x in mine)[-1:] == [max(x[0] for x in found)], (r, i)
+                taken: list[tuple] = []
+                for n, long, place, first in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+                    if all(place + long <= p or p + m <= place for _, m, p, _ in taken):
+                        taken.append((n, long, place, first))
+                assert sorted(mine) == sorted(taken), (r, i)
+            seen += 1
+    assert seen >= 2 * len(items)
+
+
 def test_packing_plan_meets_demand_with_little_padding():
     rng = random.Random(3)
     demand = {c: rng.randint(1, 60) for c in rng.sample(range(1, 257), 120)}
