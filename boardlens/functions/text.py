@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-STOP_WORDS = "about all and are das der die ein eine for geht gehts im in ist mit of on oder project projekt sind the this und um was what worum".split()
-GERMAN_MARKERS = "aber auch beim das dem den der doch ein eine einen es geht gehts gibt ist im nicht oder projekt sind und warum welche welcher wer wie wieso wo worum zum zur zusammenfassung überblick".split()
-ENGLISH_MARKERS = "about are can did does how is it main of overview project should summary the there this to what when where which who why".split()
+STOP_WORDS = ("about", "all", "and", "are", "das", "der", "die", "ein", "eine", "for", "geht", "gehts", "im", "in", "ist", "mit", "of", "on", "oder", "project", "projekt", "sind", "the", "this", "und", "um", "was", "what", "worum")
+GERMAN_MARKERS = ("aber", "auch", "beim", "das", "dem", "den", "der", "doch", "ein", "eine", "einen", "es", "geht", "gehts", "gibt", "ist", "im", "nicht", "oder", "projekt", "sind", "und", "warum", "welche", "welcher", "wer", "wie", "wieso", "wo", "worum", "zum", "zur", "zusammenfassung", "überblick")
+ENGLISH_MARKERS = ("about", "are", "can", "did", "does", "how", "is", "it", "main", "of", "overview", "project", "should", "summary", "the", "there", "this", "to", "what", "when", "where", "which", "who", "why")
 OVERVIEW_PATTERNS = (
     r"\b(worum|ueberblick|überblick|zusammenfassung|summary|overview)\b",
     r"\b(?:what is|what's|tell me) (?:this |the )?(?:board|project) about\b",
@@ -110,7 +110,7 @@ def language_scores(text: Column) -> tuple[Column, Column]:
     """(German, English) marker counts; an umlaut or sharp s counts two for German."""
     words = tokens(text)
 
-    def count(markers: list[str]) -> Column:
+    def count(markers: tuple[str, ...]) -> Column:
         known = F.array(*[F.lit(m) for m in markers])
         return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
 

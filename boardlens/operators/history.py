@@ -9,9 +9,9 @@ CAP = 20
 
 
 def append(history: DataFrame, *, cap: int = CAP) -> DataFrame:
-    """Entries (board_id, seq, cache_key, ...) less those equal to the one before, newest ``cap`` of each board.
+    """Entries (board_id, seq, cache_key, ...) less those equal to the one before, the newest ``cap`` of each board.
 
-    The entries of a key that fell off stand in ``kept`` = false rows' place nowhere: use :func:`dropped`.
+    What fell off the cap is told by :func:`dropped`.
     """
     return numbered(history).where(F.col("age") <= cap).drop("age")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.functions.text import utrim
@@ -10,32 +10,32 @@ from boardlens.functions.text import utrim
 # Keywords by framework and phase.
 FRAMEWORKS = {
     "double_diamond": {
-        "discover": "research; interview; insight; observation; survey; persona; user need; pain point; quote; empathy; explore; discovery; finding; field study; competitor; benchmark; umfrage; zitat",
-        "define": "problem; define; how might we; hmw; scope; goal; requirement; constraint; framing; point of view; synthesis; target group; hypothesis; opportunity; priorit; ziel; anforderung; zielgruppe",
-        "develop": "idea; ideation; brainstorm; sketch; concept; prototype; solution; wireframe; variant; experiment; crazy 8; mockup; design option; storyboard; idee; konzept; entwurf; skizze",
-        "deliver": "deliver; launch; ship; roadmap; next step; action item; timeline; implementation; rollout; release; mvp; milestone; test plan; handoff; todo; owner; umsetzung; nächste schritte",
+        "discover": ("research", "interview", "insight", "observation", "survey", "persona", "user need", "pain point", "quote", "empathy", "explore", "discovery", "finding", "field study", "competitor", "benchmark", "umfrage", "zitat"),
+        "define": ("problem", "define", "how might we", "hmw", "scope", "goal", "requirement", "constraint", "framing", "point of view", "synthesis", "target group", "hypothesis", "opportunity", "priorit", "ziel", "anforderung", "zielgruppe"),
+        "develop": ("idea", "ideation", "brainstorm", "sketch", "concept", "prototype", "solution", "wireframe", "variant", "experiment", "crazy 8", "mockup", "design option", "storyboard", "idee", "konzept", "entwurf", "skizze"),
+        "deliver": ("deliver", "launch", "ship", "roadmap", "next step", "action item", "timeline", "implementation", "rollout", "release", "mvp", "milestone", "test plan", "handoff", "todo", "owner", "umsetzung", "nächste schritte"),
     },
     "lean_canvas": {
-        "problem": "problem; pain; need; frustration; existing alternative",
-        "solution": "solution; feature; lösung; approach; fix",
-        "value_proposition": "value; unique; proposition; promise; benefit; nutzen",
-        "customer_segments": "customer; segment; target; audience; persona; user group; zielgruppe",
-        "channels": "channel; marketing; reach; distribution; social media; kanal",
-        "revenue_costs": "revenue; cost; price; pricing; budget; monetiz; umsatz; kosten",
-        "metrics": "metric; kpi; measure; analytics; retention; conversion; messung",
-        "advantage": "advantage; moat; unfair; differentiat; alleinstellung",
+        "problem": ("problem", "pain", "need", "frustration", "existing alternative"),
+        "solution": ("solution", "feature", "lösung", "approach", "fix"),
+        "value_proposition": ("value", "unique", "proposition", "promise", "benefit", "nutzen"),
+        "customer_segments": ("customer", "segment", "target", "audience", "persona", "user group", "zielgruppe"),
+        "channels": ("channel", "marketing", "reach", "distribution", "social media", "kanal"),
+        "revenue_costs": ("revenue", "cost", "price", "pricing", "budget", "monetiz", "umsatz", "kosten"),
+        "metrics": ("metric", "kpi", "measure", "analytics", "retention", "conversion", "messung"),
+        "advantage": ("advantage", "moat", "unfair", "differentiat", "alleinstellung"),
     },
     "retro": {
-        "went_well": "went well; good; success; win; proud; liked; lief gut; positiv; gut gelaufen; kudos; danke",
-        "needs_improvement": "improve; didn't go well; problem; issue; friction; frustrat; blocker; verbessern; schlecht; ärger; hindernis",
-        "action_items": "action; next step; todo; try; experiment; owner; commit; maßnahme; nächste schritte; ausprobieren",
+        "went_well": ("went well", "good", "success", "win", "proud", "liked", "lief gut", "positiv", "gut gelaufen", "kudos", "danke"),
+        "needs_improvement": ("improve", "didn't go well", "problem", "issue", "friction", "frustrat", "blocker", "verbessern", "schlecht", "ärger", "hindernis"),
+        "action_items": ("action", "next step", "todo", "try", "experiment", "owner", "commit", "maßnahme", "nächste schritte", "ausprobieren"),
     },
     "user_journey": {
-        "awareness": "awareness; discover; first contact; ad; hears about; aufmerksam",
-        "consideration": "consider; compare; evaluate; research; alternative; vergleich",
-        "onboarding": "onboard; sign up; signup; register; first use; setup; registrier",
-        "usage": "use; usage; daily; task; workflow; habit; interaction; nutzung; alltag",
-        "retention": "retention; return; churn; loyal; recommend; advocate; bindung; empfehl",
+        "awareness": ("awareness", "discover", "first contact", "ad", "hears about", "aufmerksam"),
+        "consideration": ("consider", "compare", "evaluate", "research", "alternative", "vergleich"),
+        "onboarding": ("onboard", "sign up", "signup", "register", "first use", "setup", "registrier"),
+        "usage": ("use", "usage", "daily", "task", "workflow", "habit", "interaction", "nutzung", "alltag"),
+        "retention": ("retention", "return", "churn", "loyal", "recommend", "advocate", "bindung", "empfehl"),
     },
 }
 UNCLEAR = "unclear"
@@ -43,7 +43,7 @@ UNCLEAR = "unclear"
 
 def framework_keywords(spark: SparkSession) -> DataFrame:
     """(framework, phase_ord, phase, keyword) of the built-in frameworks."""
-    rows = [(f, i, p, k) for f, phases in FRAMEWORKS.items() for i, (p, words) in enumerate(phases.items()) for k in words.split("; ")]
+    rows = [(f, i, p, k) for f, phases in FRAMEWORKS.items() for i, (p, words) in enumerate(phases.items()) for k in words]
     return spark.createDataFrame(rows, "framework string, phase_ord int, phase string, keyword string")
 
 
@@ -91,9 +91,3 @@ def map_phases(clusters: DataFrame, hint: str = "freeform", custom: list[str] |
     if hint in FRAMEWORKS:
         return classify(clusters, framework_keywords(spark).where(F.col("framework") == hint))
     return clusters.withColumn("phase", F.lit(None).cast("string"))
-
-
-def ranked_scores(scores: DataFrame) -> DataFrame:
-    """Long scores (key, phase, score) with their rank and ties, for reports."""
-    w = Window.partitionBy("key")
-    return scores.withColumns({"rank": F.rank().over(w.orderBy(F.desc("score"))), "ties": F.count("*").over(Window.partitionBy("key", "score"))})
