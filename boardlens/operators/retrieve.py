@@ -83,8 +83,8 @@ def render_context(found: DataFrame, relations: DataFrame, max_chars: int) -> Da
     per = found.groupBy("board_id").agg(F.array_sort(F.collect_list(F.struct("place", "cluster_id", cluster_line().alias("line")))).alias("cand")).join(lines, "board_id", "left")
     none = F.array().cast(lines.schema["rel"].dataType)
     rel_all = F.coalesce("rel", none)
-    section = F.when(F.size(rel_all) > 0, F.length(F.concat(F.lit(RELATION_HEADING + "\n"), F.array_join(F.transform(rel_all, lambda r: r["line"]), "\n"))))
-    reserve = F.coalesce(F.least(section + 2, F.lit(int(max_chars * RELATION_SHARE))), F.lit(0))
+    section = F.length(F.concat(F.lit(RELATION_HEADING + "\n"), F.array_join(F.transform(rel_all, lambda r: r["line"]), "\n")))
+    reserve = F.when(F.size(rel_all) > 0, F.least(section + 2, F.lit(int(max_chars * RELATION_SHARE)))).otherwise(0)
     per = per.withColumns({"rel": rel_all, "budget": F.lit(max_chars) - reserve})
     per = per.withColumn("per", F.greatest(F.lit(MIN_LINE), F.floor(F.col("budget") / F.size("cand")).cast("int")))
     start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("ids"), F.lit(False).alias("full"))
