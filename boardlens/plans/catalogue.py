@@ -1,7 +1,8 @@
 """The registered queries over the given tables and their DuckDB SQL.
 
 The tables hold no boards, so each query derives its input from them with
-integer arithmetic that both engines share.
+integer arithmetic that both engines share. Queries of the read side are in
+:mod:`boardlens.plans.readside`.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boardlens.functions import text as T
 from boardlens.operators import diff, graph, history, phases, refine, retrieve, spatial, tree
+from boardlens.plans import readside
 
 QUESTION = "there enan there ation"
 TOPICS = ("enan", "zzqq")
@@ -41,7 +43,7 @@ def _part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NODES = """nodes AS (SELECT p_brand AS board_id, p_partkey AS id, ((p_partkey * 7919) % 4000)::DOUBLE AS x, ((p_partkey * 104729) % 3000)::DOUBLE AS y,
   (60 + p_partkey % 180)::DOUBLE AS w, (60 + p_partkey % 120)::DOUBLE AS h, p_partkey % 5 = 0 AS rot, p_size % 10 = 0 AS img,
-  CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS text FROM part),
+  CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS text, p_name AS name FROM part),
 shapes AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy, (w + h) / 4 AS r FROM nodes),
 gaps AS (SELECT a.board_id, a.id AS a, b.id AS b, CASE WHEN a.rot OR b.rot
     THEN greatest(0, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) - a.r - b.r)
@@ -145,7 +147,7 @@ RELATIONS = f"WITH {_EDGES} SELECT * FROM rel"
 
 
 def one_hop_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands one strong relation away from two given ones."""
+    """Brands one relation of a certain strength away from two given ones."""
     strong = _relations(spark, sf_dir).where("edge_count % 7 = 0")
     first = spark.createDataFrame([("all", "Brand#11"), ("all", "Brand#23")], "board_id string, cluster_id string")
     return graph.one_hop(first, strong).select("cluster_id")
@@ -208,12 +210,37 @@ DOCUMENT = """{"document": {"id": "0:0", "name": "Document", "type": "DOCUMENT",
 {"id": "1:10", "name": "Table", "type": "TABLE", "absoluteBoundingBox": {"x": 1700, "y": 20, "width": 300, "height": 150}, "children": [{"id": "1:11", "name": "Cell", "type": "TABLE_CELL", "characters": "a"}]}]}]}}"""
 
 
-def tree_flatten_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw document flattened from VARIANT."""
+def flatten_one_document(spark: SparkSession) -> DataFrame:
+    """The raw document above flattened from VARIANT."""
     docs = spark.createDataFrame([("board", DOCUMENT)], "board_id string, raw string").select("board_id", F.parse_json("raw").alias("doc"))
     return tree.flatten_documents(docs).select("ord", "id", "type", "parent_id", "rotation", "image_ref", "text", "x", "width")
 
 
+def tree_flatten_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw documents, a region each, with nations as pages and customers as notes, tables or empty frames, flattened from VARIANT."""
+    t = lambda n: _table(spark, sf_dir, n)
+    k = F.col("c_custkey")
+    box = F.struct(k.cast("double").alias("x"), F.lit(2.0).alias("y"), F.lit(100.0).alias("width"), F.lit(80.0).alias("height"))
+    cell = F.when(k % 5 == 0, F.array(F.struct(F.concat(F.lit("t"), k.cast("string")).alias("id"), F.lit("Cell").alias("name"), F.lit("TABLE_CELL").alias("type"), F.lit("in").alias("characters"))))
+    kind = F.when(k % 5 == 0, "TABLE").when(k % 7 == 0, "FRAME").otherwise("STICKY")
+    fills = F.when(k % 3 == 0, F.array(F.struct(F.lit("SOLID").alias("type"), F.lit("no").alias("imageRef")), F.struct(F.lit("IMAGE").alias("type"), F.concat(F.lit("img"), k.cast("string")).alias("imageRef"))))
+    note = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.lit("Note").alias("name"), kind.alias("type"), box.alias("absoluteBoundingBox"), fills.alias("fills"), F.when((k % 7 != 0) & (k % 5 != 0), F.col("c_name")).alias("characters"), cell.alias("children"))
+    notes = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", note.alias("n")))), lambda s: s["n"]).alias("children"))
+    page = F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit("CANVAS").alias("type"), "children")
+    pages = t("nation").join(notes, "n_nationkey", "left").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", page.alias("p")))), lambda s: s["p"]).alias("children"))
+    root = F.struct(F.struct(F.lit("0:0").alias("id"), F.lit("DOCUMENT").alias("type"), "children").alias("document"))
+    docs = pages.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("board_id"), F.parse_json(F.to_json(root)).alias("doc"))
+    return tree.flatten_documents(docs).select("board_id", "ord", "id", "type", "parent_id", "image_ref", "text", "x", "width")
+
+
+VARIANT = """WITH kept AS (SELECT 'r' || n_regionkey AS board_id, n_nationkey AS n, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'TABLE' WHEN c_custkey % 7 = 0 THEN 'FRAME' ELSE 'STICKY' END AS type,
+    CASE WHEN c_custkey % 3 = 0 THEN 'img' || c_custkey END AS image_ref, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_name END AS text FROM customer JOIN nation ON n_nationkey = c_nationkey),
+c AS (SELECT * FROM kept WHERE type <> 'FRAME' OR image_ref IS NOT NULL),
+rows AS (SELECT board_id, n, k, 'c' || k AS id, type, 'n' || n AS parent_id, image_ref, text, CAST(k AS DOUBLE) AS x, 100.0::DOUBLE AS width FROM c
+  UNION ALL SELECT DISTINCT board_id, n, -1, 'n' || n, 'CANVAS', '0:0', NULL, NULL, 0.0::DOUBLE, 0.0::DOUBLE FROM c)
+SELECT board_id, row_number() OVER (PARTITION BY board_id ORDER BY n, k) - 1 AS ord, id, type, parent_id, image_ref, text, x, width FROM rows"""
+
+
 def spatial_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node pairs of each board within 160."""
     return spatial.near_pairs(_part_nodes(spark, sf_dir), gap=160)
@@ -222,6 +249,11 @@ def spatial_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = f"WITH {_NODES} SELECT board_id, a, b FROM pairs"
 
 
+def wide_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs where nodes over six cells are compared with their board."""
+    return spatial.near_pairs(_part_nodes(spark, sf_dir), gap=160, max_cells=6)
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.single_linkage(_part_nodes(spark, sf_dir), gap=160)
 
@@ -256,6 +288,21 @@ l AS (SELECT board_id, list_sort(list(g)) AS gs FROM m WHERE g > 0.5 GROUP BY bo
 SELECT t.board_id, round(CASE WHEN n >= 12 AND len(gs) >= (n / stride) / 4 THEN greatest(96.0, least(320.0, 3 * gs[len(gs) // 2 + 1])) ELSE 160.0 END, 6)::DOUBLE AS gap FROM t LEFT JOIN l USING (board_id)"""
 
 
+def adaptive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards clustered by the gap that their own spacing suggests, parts left whole."""
+    boxes = spatial.cluster(_part_nodes(spark, sf_dir), adaptive=True, max_size=1 << 40)
+    return boxes.select("board_id", F.col("cluster_ord").cast("long").alias("n"), *[F.col(f"bounding_box.{c}").alias(c) for c in ("x", "y", "width", "height")], F.size("node_ids").cast("long").alias("members"))
+
+
+ADAPTED = f"""WITH RECURSIVE {ADAPTIVE[len("WITH "):].split("SELECT t.board_id")[0].rstrip()},
+tuned AS (SELECT t.board_id, CASE WHEN n >= 12 AND len(gs) >= (n / stride) / 4 THEN greatest(96.0, least(320.0, 3 * gs[len(gs) // 2 + 1])) ELSE 160.0 END AS gap FROM t LEFT JOIN l USING (board_id)),
+near AS (SELECT gaps.board_id, a, b FROM gaps JOIN tuned USING (board_id) WHERE gaps.gap <= tuned.gap),
+reach(board_id, n, m) AS (SELECT board_id, id, id FROM nodes UNION SELECT r.board_id, r.n, e.b FROM reach r JOIN near e ON e.board_id = r.board_id AND e.a = r.m),
+comp AS (SELECT board_id, n AS id, min(m) AS part FROM reach GROUP BY ALL),
+boxes AS (SELECT comp.board_id, part, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1, min(comp.id) AS first, count(*) AS members FROM comp JOIN nodes ON nodes.id = comp.id GROUP BY ALL)
+SELECT board_id, row_number() OVER (PARTITION BY board_id ORDER BY y, x, first) AS n, x, y, x1 - x AS width, y1 - y AS height, members FROM boxes"""
+
+
 def bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each board as one part, halved until no part is over 8: part sizes."""
     members = _part_nodes(spark, sf_dir).withColumn("part", F.lit(0))
@@ -263,6 +310,15 @@ def bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return half.groupBy("board_id", "split").agg(F.count("*").alias("members"))
 
 
+HALVES = f"""WITH RECURSIVE {_NODES.split("gaps AS")[0].rstrip().rstrip(",")},
+r(board_id, id, x, y, w, h, cx, cy, split, lvl) AS (SELECT board_id, id, x, y, w, h, cx, cy, '', 0 FROM shapes
+  UNION ALL SELECT board_id, id, x, y, w, h, cx, cy, split || CASE WHEN k <= ceil(n / 2) THEN '0' ELSE '1' END, lvl + 1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY board_id, split ORDER BY CASE WHEN wide THEN cx ELSE cy END, CASE WHEN wide THEN cy ELSE cx END, CAST(id AS VARCHAR)) AS k FROM (
+      SELECT *, count(*) OVER p AS n, max(x + w) OVER p - min(x) OVER p >= max(y + h) OVER p - min(y) OVER p AS wide FROM r WINDOW p AS (PARTITION BY board_id, split)) WHERE n > 8)),
+f AS (SELECT board_id, id, arg_max(split, lvl) AS split FROM r GROUP BY ALL)
+SELECT board_id, split, count(*) AS members FROM f GROUP BY ALL"""
+
+
 def bisect_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One halving of each board across its longer side."""
     nodes = _part_nodes(spark, sf_dir).withColumn("part", F.lit(0))
@@ -289,7 +345,8 @@ def vision_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FACTS = f"""{_NODES}, f AS (SELECT board_id, 'cluster_' || (id % 7) AS cluster_id, CAST(count(*) AS BIGINT) AS n_nodes, CAST(count(text) AS BIGINT) AS n_texts, CAST(count(*) FILTER (img) AS BIGINT) AS n_images,
-  CAST(coalesce(sum(length(trim(text))), 0) AS BIGINT) AS text_length, list(trim(text) ORDER BY id) FILTER (text IS NOT NULL) AS texts FROM nodes GROUP BY ALL)"""
+  CAST(coalesce(sum(length(trim(text))), 0) AS BIGINT) AS text_length, list(trim(text) ORDER BY id) FILTER (text IS NOT NULL) AS texts,
+  list(trim(name) ORDER BY id) FILTER (trim(name) <> '' AND NOT regexp_matches(trim(name), '(?i)^(sticky|text|rectangle|ellipse|shape|connector|section|group|frame|table)( \\d+)?$')) AS names FROM nodes GROUP BY ALL)"""
 VISION = f"WITH {_FACTS} SELECT board_id, cluster_id, n_images, text_length, row_number() OVER (PARTITION BY board_id ORDER BY (n_images > 0) DESC, text_length, n_images DESC, cluster_id) AS queue, n_images > 0 OR text_length < 40 AS due FROM f"
 
 
@@ -307,9 +364,9 @@ def deterministic_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.deterministic(_part_facts(spark, sf_dir)).select("board_id", "cluster_id", "label", "summary")
 
 
-REFINE = f"""WITH {_FACTS}, l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(texts[1], '\\s+', ' ', 'g'), '^["'']', ''), '["'']$', '') AS flat FROM f),
+REFINE = f"""WITH {_FACTS}, l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(coalesce(texts[1], names[1]), '\\s+', ' ', 'g'), '^["'']', ''), '["'']$', '') AS flat FROM f),
 m AS (SELECT *, array_to_string(list_filter(string_split(trim(flat), ' '), lambda w: w <> '')[1:6], ' ') AS short FROM l)
-SELECT board_id, cluster_id, CASE WHEN n_texts = 0 THEN 'Cluster ' || substr(cluster_id, 9) WHEN length(short) <= 60 THEN short ELSE substr(short, 1, 57) || '...' END AS label,
+SELECT board_id, cluster_id, CASE WHEN coalesce(texts[1], names[1]) IS NULL THEN 'Cluster ' || substr(cluster_id, 9) WHEN length(short) <= 60 THEN short ELSE substr(short, 1, 57) || '...' END AS label,
 'Cluster contains ' || n_nodes || ' board element' || CASE WHEN n_nodes = 1 THEN '' ELSE 's' END || ' with ' || n_texts || ' extracted text item' || CASE WHEN n_texts = 1 THEN '' ELSE 's' END || '. ' ||
 CASE WHEN n_texts > 0 THEN 'Extracted text highlights: ' || array_to_string(list_transform(texts[1:5], lambda t: '"' || CASE WHEN length(t) <= 120 THEN t ELSE substr(t, 1, 117) || '...' END || '"'), '; ') || '.' ELSE 'No readable text was extracted from this cluster.' END ||
 CASE WHEN n_images > 0 THEN ' It includes ' || n_images || ' image element' || CASE WHEN n_images = 1 THEN '' ELSE 's' END || ' that were not visually described because timeout-safe fallback was used.' ELSE '' END ||
@@ -388,6 +445,14 @@ def cluster_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.greedy_match(diff.candidate_pairs(*_clusterings(spark, sf_dir))).select("board_id", "b_id", "a_id", "overlap")
 
 
+GREEDY = f"""WITH RECURSIVE {CANDIDATES[len("WITH "):].split("SELECT o.board_id")[0].rstrip()}, cand AS (SELECT o.board_id, bc, ac, overlap, row_number() OVER (PARTITION BY o.board_id ORDER BY overlap DESC, bc, ac) AS i
+  FROM o JOIN bs ON bs.board_id = o.board_id AND bs.c = bc JOIN s ON s.board_id = o.board_id AND s.c = ac WHERE overlap / least(bs.n, s.n) >= 0.5),
+g(board_id, i, ub, ua, hit) AS (SELECT DISTINCT board_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false FROM cand
+  UNION ALL SELECT x.board_id, x.j, CASE WHEN free THEN list_append(ub, bc) ELSE ub END, CASE WHEN free THEN list_append(ua, ac) ELSE ua END, free
+  FROM (SELECT g.*, c.i AS j, bc, ac, NOT list_contains(ub, bc) AND NOT list_contains(ua, ac) AS free FROM g JOIN cand c ON c.board_id = g.board_id AND c.i = g.i + 1) x)
+SELECT cand.board_id, 'cluster_' || bc AS b_id, 'cluster_' || ac AS a_id, overlap FROM cand JOIN g ON g.board_id = cand.board_id AND g.i = cand.i WHERE hit"""
+
+
 def connection_bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges added and removed between two versions, as bags."""
     e = _line_edges(spark, sf_dir)
@@ -421,8 +486,9 @@ def history_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gc_inputs(spark: SparkSession, sf_dir: str):
-    h = _history(spark, sf_dir).withColumn("cache_key", F.concat("cache_key", (F.col("seq") % 29).cast("string")))
-    h = h.withColumn("cache_key", F.regexp_replace("cache_key", "_", ""))
+    h = _history(spark, sf_dir)
+    two = F.col("board_id") - F.col("board_id") % 2  # two boards share their keys
+    h = h.withColumn("cache_key", F.concat(F.regexp_replace("cache_key", "_", ""), (F.col("seq") % 29).cast("string"), F.lit("u"), two.cast("string")))
     kept = history.append(h)
     pointers = kept.groupBy("board_id").agg(F.min_by("cache_key", "seq").alias("cache_key")).withColumn("schema_version", F.when(F.col("board_id") % 2 == 0, 3).otherwise(2))
     return history.dropped(h), h.groupBy("cache_key").agg(F.min("board_id").alias("board_id")), kept, pointers
@@ -431,17 +497,16 @@ def _gc_inputs(spark: SparkSession, sf_dir: str):
 def snapshot_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots that fell off the cap and nothing refers to."""
     dropped, owners, kept, pointers = _gc_inputs(spark, sf_dir)
-    few = kept.where("board_id % 10 < 2")
-    return history.collectable(dropped, owners, few, pointers)
+    return history.collectable(dropped, owners, kept, pointers)
 
 
-GC = """WITH h AS (SELECT user_id AS board_id, seq, replace(event_type, '_', '') || (seq % 29) AS cache_key FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)),
+GC = """WITH h AS (SELECT user_id AS board_id, seq, replace(event_type, '_', '') || (seq % 29) || 'u' || (user_id - user_id % 2) AS cache_key FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)),
 d AS (SELECT * FROM (SELECT *, lag(cache_key) OVER (PARTITION BY board_id ORDER BY seq) AS p FROM h) WHERE p IS DISTINCT FROM cache_key),
 n AS (SELECT board_id, seq, cache_key, row_number() OVER (PARTITION BY board_id ORDER BY seq DESC) AS age FROM d),
 k AS (SELECT * FROM n WHERE age <= 20), x AS (SELECT DISTINCT board_id, cache_key FROM n WHERE age > 20 AND (board_id, cache_key) NOT IN (SELECT (board_id, cache_key) FROM k)),
 o AS (SELECT cache_key, min(board_id) AS owner FROM h GROUP BY ALL), p AS (SELECT board_id, arg_min(cache_key, seq) AS cache_key FROM k GROUP BY ALL)
 SELECT x.board_id, x.cache_key FROM x JOIN o USING (cache_key) WHERE owner = x.board_id AND regexp_full_match(x.cache_key, '[a-z0-9]{1,64}')
-AND x.cache_key NOT IN (SELECT cache_key FROM k WHERE board_id % 10 < 2) AND x.cache_key NOT IN (SELECT cache_key FROM p WHERE board_id % 2 = 0)"""
+AND x.cache_key NOT IN (SELECT cache_key FROM k) AND x.cache_key NOT IN (SELECT cache_key FROM p WHERE board_id % 2 = 0)"""
 
 
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,6 +516,14 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("board_id", "answer", F.array_join("cited", "; ").alias("cited"))
 
 
+_FIRST = readside._FIRST.format("text")
+EXTRACT = f"""WITH s AS (SELECT source AS board_id, doc_id, lang || ' ' || doc_id AS label, {_FIRST} AS first, CAST({_score_sql(["there", "enan", "there", "ation"])} AS BIGINT) AS score FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0),
+a AS (SELECT board_id, list(label ORDER BY place) AS ls, list(first ORDER BY place) FILTER (first <> '') AS fs FROM r WHERE place <= 6 GROUP BY board_id)
+SELECT b.board_id, CASE WHEN ls IS NULL THEN 'The answer is not supported by the cached board context.' ELSE regexp_replace('Based on the board, the project is mainly about ' || CASE WHEN len(ls) = 1 THEN ls[1] ELSE array_to_string(ls[1:-2], ', ') || ' and ' || ls[-1] END || '. ' || array_to_string(coalesce(fs, [])[1:4], ' '), {readside._TRIM}) END AS answer,
+coalesce(array_to_string(ls, '; '), '') AS cited FROM (SELECT DISTINCT source AS board_id FROM documents) b LEFT JOIN a USING (board_id)"""
+
+
 def budget_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each board's best documents rendered within 2,000 characters."""
     c = _doc_clusters(spark, sf_dir)
@@ -460,6 +533,17 @@ def budget_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("board_id", "text", F.length("text").cast("long").alias("n_chars"), F.size("included").cast("long").alias("included"))
 
 
+_CUT = r"CASE WHEN {n} < 1 THEN '' WHEN length(line) <= {n} THEN line WHEN {n} = 1 THEN '…' ELSE regexp_replace(substr(line, 1, {n} - 1), '[\s\x{{FEFF}}\p{{Z}}]+$', '') || '…' END"
+_LEFT = "least(2000 - length(text) - CASE WHEN text = '' THEN 0 ELSE 1 END, per)"
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+RENDER = f"""WITH RECURSIVE {TOPK[len("WITH "):].split("SELECT board_id, doc_id, score")[0].rstrip()}, c AS (SELECT r.board_id, place, '- ' || {_ESCAPED.format("lang")} || ': ' || {_ESCAPED.format("text")} AS line, CAST(greatest(160, 2000 // least(6, count(*) OVER (PARTITION BY r.board_id))) AS BIGINT) AS per
+  FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE place <= 6),
+g(board_id, place, text, shown, ended) AS (SELECT DISTINCT board_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), false FROM c
+  UNION ALL SELECT board_id, place + 1, CASE WHEN stop THEN text WHEN text = '' THEN cut ELSE text || E'\\n' || cut END, shown + CASE WHEN stop THEN 0 ELSE 1 END, stop
+  FROM (SELECT *, ended OR room < 1 OR cut = '' AS stop FROM (SELECT g.*, {_LEFT} AS room, {_CUT.format(n=_LEFT)} AS cut FROM g JOIN c ON c.board_id = g.board_id AND c.place = g.place + 1)))
+SELECT board_id, arg_max(text, place) AS text, CAST(length(arg_max(text, place)) AS BIGINT) AS n_chars, arg_max(shown, place) AS included FROM g GROUP BY board_id"""
+
+
 def url_key_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Board keys of page addresses."""
     p = _table(spark, sf_dir, "pages")
@@ -470,18 +554,19 @@ def url_key_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL = """SELECT page_id, CASE WHEN page_id % 5 = 0 OR page_id % 7 = 0 OR (page_id % 3 <> 0 AND page_id % 11 = 0) THEN NULL ELSE 'Key' || lpad(CAST(page_id AS VARCHAR), 6, '0') END AS key, CAST(NULL AS VARCHAR) AS page_key FROM pages"""
 
 _QUERIES = (
-    topk_retrieval, topic_filter_fallback, phase_classify, language_guess, cluster_relations, one_hop_neighbours, leaf_filter, tree_flatten_prune, tree_flatten_variant, spatial_pairs, connected_components, cluster_boxes,
-    adaptive_threshold, bisect, bisect_round, vision_priority, screenshot_topk, deterministic_refine, quality_report, content_hash_reuse, node_diff, cluster_match_candidates, cluster_match_greedy, connection_bag_diff,
+    topk_retrieval, topic_filter_fallback, phase_classify, language_guess, cluster_relations, one_hop_neighbours, leaf_filter, tree_flatten_prune, tree_flatten_variant, spatial_pairs, wide_pairs, connected_components, cluster_boxes,
+    adaptive_threshold, adaptive_clusters, bisect, bisect_round, vision_priority, screenshot_topk, deterministic_refine, quality_report, content_hash_reuse, node_diff, cluster_match_candidates, cluster_match_greedy, connection_bag_diff,
     history_dedupe_cap, history_nth, snapshot_gc, extractive_answer, budget_render, url_key_extract,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in _QUERIES} | readside.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return readside.oracle_sql() | {
+        "tree_flatten_variant": VARIANT, "wide_pairs": PAIRS, "adaptive_clusters": ADAPTED, "bisect": HALVES, "cluster_match_greedy": GREEDY, "extractive_answer": EXTRACT, "budget_render": RENDER,
         "topk_retrieval": TOPK, "topic_filter_fallback": TOPIC, "phase_classify": PHASE, "language_guess": LANGUAGE, "cluster_relations": RELATIONS, "one_hop_neighbours": ONE_HOP, "leaf_filter": LEAF, "tree_flatten_prune": TREE,
         "spatial_pairs": PAIRS, "connected_components": COMPONENTS, "cluster_boxes": BOXES, "adaptive_threshold": ADAPTIVE, "bisect_round": BISECT, "vision_priority": VISION, "screenshot_topk": SHOTS, "deterministic_refine": REFINE,
         "quality_report": QUALITY, "content_hash_reuse": REUSE, "node_diff": NODE_DIFF, "cluster_match_candidates": CANDIDATES, "connection_bag_diff": BAG,

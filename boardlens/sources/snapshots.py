@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.operators import history
-from boardlens.sources.scratch import drop_dir
+from boardlens.sources.scratch import drop_dir, drop_table, materialise
 
 SCHEMA_VERSION = 3
 TABLES = ("nodes", "edges", "clusters", "relations")
@@ -55,7 +55,9 @@ class SnapshotStore:
             new = rows.join(newest, "board_id", "left").where(~F.col("snapshot_id").eqNullSafe(F.col("_last")))
             names = [c.split()[0] for c in HEADER.split(", ")]
             new = new.withColumns({"seq": F.coalesce("_seq", F.lit(0)) + 1, "schema_version": F.lit(SCHEMA_VERSION)}).select(*names)
-            self.spark.createDataFrame(new.collect(), HEADER).write.mode("append").parquet(f"{self.root}/headers")  # a row per board ingested now
+            new = materialise(new, "headers")  # read whole before its own table grows
+            new.write.mode("append").parquet(f"{self.root}/headers")
+            drop_table(new)
 
     def history(self, board_ids: list[str] | None = None) -> DataFrame:
         h = self.headers().where(F.col("snapshot_id").isNotNull()).withColumn("cache_key", F.col("snapshot_id"))

@@ -95,9 +95,9 @@ class TestValidation:
 
 class TestTree:
     def test_fixture(self, spark):
-        from boardlens.plans.catalogue import tree_flatten_variant
+        from boardlens.plans.catalogue import flatten_one_document
 
-        rows = tree_flatten_variant(spark, "").orderBy("ord").collect()
+        rows = flatten_one_document(spark).orderBy("ord").collect()
         assert [r["id"] for r in rows] == ["0:1", "1:2", "1:3", "1:4", "1:5", "1:6", "1:10"]
         by = {r["id"]: r for r in rows}
         assert by["1:4"]["parent_id"] == "1:3" and by["1:5"]["rotation"] == 45 and by["1:6"]["image_ref"] == "img-ref-abc123" and by["0:1"]["parent_id"] == "0:0" and by["1:2"]["text"] == "Hello"
