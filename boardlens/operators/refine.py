@@ -105,10 +105,24 @@ def inventory(rows: DataFrame, *, max_nodes: int = MAX_LISTED, max_chars: int =
     return per.select("board_id", "cluster_id", F.array_join(lines, "\n").alias("text"), F.transform(final, lambda e: e["id"]).alias("listed"))
 
 
+def _within(ordered: Column, i: Column) -> Column:
+    """Whether the ordered array holds ``i``, by binary search: halving steps lead to the number of elements up to ``i``."""
+    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
+    upto = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(ordered, n + step - 1) <= i, n + step).otherwise(n))
+    return F.coalesce(F.get(ordered, upto - 1) == i, F.lit(False))
+
+
 def merge_reply(node_ids: Column, confirmed: Column, listed: Column) -> Column:
-    """A model's confirmed ids merged: known and listed ones, and all that were not listed; all if none is left."""
-    valid = F.filter(F.coalesce(confirmed, F.array().cast("array<string>")), lambda i: F.array_contains(node_ids, i) & F.array_contains(listed, i))
-    kept = F.filter(node_ids, lambda i: F.array_contains(valid, i) | ~F.array_contains(listed, i))
+    """A model's confirmed ids merged: known and listed ones, and all that were not listed; all if none is left.
+
+    What goes is what was listed and not confirmed. Set operations take time in
+    proportion to the ids; ids that repeat, which these would merge, are searched.
+    """
+    said = F.coalesce(confirmed, F.array().cast("array<string>"))
+    ids, gone = F.array_compact(node_ids), F.array_compact(F.array_except(listed, said))
+    searched = F.get(F.transform(F.array(F.array_sort(gone)), lambda g: F.filter(ids, lambda i: ~_within(g, i))), 0)
+    kept = F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.array_except(ids, gone)).otherwise(searched)
+    valid = F.array_compact(F.array_intersect(F.array_intersect(said, listed), node_ids))
     return F.when(F.size(valid) > 0, kept).otherwise(node_ids)
 
 

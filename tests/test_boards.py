@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -313,6 +315,27 @@ class TestRefine:
         assert one(spark, refine.merge_reply(arr("a", "b"), arr("zz"), arr("a", "b"))) == ["a", "b"]
         assert one(spark, refine.carried_ids(arr("a", "b"), arr("b", "x"))) == ["b"]
 
+    def test_reply_merge_equals_sets(self, spark):
+        draw = random.Random(7)
+        some = lambda most: None if draw.random() < 0.1 else [draw.choice("abcdefghij") for _ in range(draw.randrange(most))]
+        cases = [([f"{n}" for n in draw.sample(range(10), draw.randrange(10))] if k % 2 else some(12) or [], some(8), some(8)) for k in range(120)]
+        cases = [(k, ids, *([str("abcdefghij".index(i)) for i in c] if c and k % 2 else c for c in said)) for k, (ids, *said) in enumerate(cases)]
+        rows = spark.createDataFrame(cases, "k int, ids array<string>, confirmed array<string>, listed array<string>")
+        got = {r["k"]: r["m"] for r in rows.select("k", refine.merge_reply(F.col("ids"), F.col("confirmed"), F.col("listed")).alias("m")).collect()}
+        for k, ids, confirmed, listed in cases:
+            valid = set(confirmed or []) & set(ids) & set(listed or [])
+            assert got[k] == ([i for i in ids if i in valid or i not in listed] if valid else ids)
+
+    @pytest.mark.parametrize("repeat", [1, 2])
+    def test_reply_merge_of_a_large_cluster(self, spark, repeat):
+        n = 20_000
+        ids = F.flatten(F.array_repeat(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")), repeat))
+        rows = spark.range(1).select(ids.alias("ids")).withColumns({"said": F.filter("ids", lambda i: i.cast("int") % 3 == 0), "listed": F.filter("ids", lambda i: i.cast("int") % 2 == 0)})
+        began = time.monotonic()
+        got = rows.select(refine.merge_reply(F.col("ids"), F.col("said"), F.col("listed")).alias("m")).first()["m"]
+        assert time.monotonic() - began < 60
+        assert got == [str(i) for i in range(1, n + 1) if i % 2 or i % 3 == 0] * repeat
+
 
 class TestHistory:
     def h(self, spark, keys, board="b"):
