@@ -5,8 +5,10 @@ boxes, or of their discs as soon as one of them is rotated. The join never
 compares all nodes of a board: nodes are hashed to the grid cells that their
 bounds touch (disc and box both, on boards with a rotated node), joined by cell,
 and a pair is tested in the first cell that both touch only, so no distinct is
-needed. Nodes over more than ``max_cells`` cells, few by nature, are compared
-with their whole board.
+needed. Cells double from level to level: a node over more than ``max_cells``
+cells goes up to the first level where it touches no more, a pair meets on the
+higher of its nodes' levels, and nodes are hashed on their own level and on the
+higher ones that their board uses.
 
 Single linkage does not need all near pairs, whose number grows with the square
 of a board's density. Nodes that touch one fine cell, whose diagonal is less
@@ -27,6 +29,9 @@ from boardlens.sources.scratch import materialise
 DEFAULT_GAP, MIN_NODES, STRIDE_TARGET, MIN_GAP, FACTOR, LEAST, MOST = 160.0, 12, 150, 0.5, 3.0, 96.0, 320.0
 MAX_CLUSTER, MAX_CELLS, MIN_CELL, ROTATED = 250, 4096, 128.0, 1e-6
 
+#: Cells that a node may touch on every level, however large they are.
+LEAST_CELLS = 4
+
 #: Side of a fine cell by the gap (its diagonal is 0.99 gaps), and fine cells that a node's star takes at most (a node over more is left to the pairs).
 FINE, FINE_CELLS = 0.7, 64
 
@@ -81,34 +86,40 @@ def near_pairs(nodes: DataFrame, *, gap: Column | float = DEFAULT_GAP, max_cells
     """
     validate.positive_integer("max_cells", max_cells)
     f = _with_discs(nodes, gap)
-    cell = F.greatest(F.lit(MIN_CELL), F.col("gap"))
+    side = F.greatest(F.lit(MIN_CELL), F.col("gap"))
     half = F.col("gap") / 2
     low = lambda c, m: F.when(F.col("discs"), F.least(F.col(c), F.col(m) - F.col("radius"))).otherwise(F.col(c)) - half
     high = lambda c, s, m: F.when(F.col("discs"), F.greatest(F.col(c) + F.col(s), F.col(m) + F.col("radius"))).otherwise(F.col(c) + F.col(s)) + half
-    f = f.withColumns({"x0": F.floor(low("x", "cx") / cell), "y0": F.floor(low("y", "cy") / cell), "x1": F.floor(high("x", "width", "cx") / cell), "y1": F.floor(high("y", "height", "cy") / cell)})
-    cells = (F.col("x1") - F.col("x0") + 1).cast("double") * (F.col("y1") - F.col("y0") + 1).cast("double")
+    f = f.withColumns({"x0": F.floor(low("x", "cx") / side), "y0": F.floor(low("y", "cy") / side), "x1": F.floor(high("x", "width", "cx") / side), "y1": F.floor(high("y", "height", "cy") / side)})
+    up = lambda c, level: F.call_function("shiftright", F.col(c), level)
+    span = lambda a, b, level: (up(b, level) - up(a, level) + 1).cast("double")
+    many = lambda level: span("x0", "x1", level) * span("y0", "y1", level) > max(max_cells, LEAST_CELLS)
+    top = F.ceil(F.log2(F.greatest(span("x0", "x1", F.lit(0)), span("y0", "y1", F.lit(0))))).cast("int")  # two cells a side at most
     name = apart or "id"
-    f = f.select("board_id", "gap", *_SHAPE[1:], F.col(name).alias("name"), "x0", "y0", "x1", "y1", (cells > max_cells).alias("wide"))
+    f = f.withColumn("level", F.when(many(F.lit(0)), F.size(F.filter(F.sequence(F.lit(1), top), many)) + 1).otherwise(0))
+    f = f.select("board_id", "gap", *_SHAPE[1:], F.col(name).alias("name"), "x0", "y0", "x1", "y1", "level")
     shape = F.struct(*_SHAPE[1:], "name")  # made after rows are dealt out
-    small = f.where(~F.col("wide"))
-    dealt = small.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1")))
+    used = f.groupBy("board_id").agg(F.collect_set("level").alias("levels"))
+    dealt = f.join(used, "board_id").withColumn("at", F.explode(F.filter("levels", lambda level: level >= F.col("level")))).drop("levels")
+    dealt = dealt.withColumns({c: up(c, F.col("at")) for c in ("x0", "y0", "x1", "y1")})
+    dealt = dealt.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
+    cell = ["board_id", "at", "gx", "gy"]
     other = F.expr("a.ord < b.ord")
     if apart:
         other = F.expr("a.name < b.name")
-        mixed = dealt.groupBy("board_id", "gx", "gy").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q")
+        mixed = dealt.groupBy(*cell).agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q")
         # Written first: few cells are mixed as a rule, and of a table the planner knows whether it is small enough to be sent to all.
-        mixed = materialise(mixed.select("board_id", "gx", "gy"), "mixed-cells")
-        dealt = dealt.join(mixed, ["board_id", "gx", "gy"], "left_semi")
-    a = dealt.select("board_id", "gap", "gx", "gy", shape.alias("a"), F.col("x0").alias("ax"), F.col("y0").alias("ay"))
-    b = dealt.select("board_id", "gx", "gy", shape.alias("b"), F.col("x0").alias("bx"), F.col("y0").alias("by"))
+        mixed = materialise(mixed.select(*cell), "mixed-cells")
+        dealt = dealt.join(mixed, cell, "left_semi")
+    else:
+        # By a given number: cells are small but pairs of theirs many, so tasks are not to be merged by the size of what they read.
+        dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)
+    a = dealt.select("gap", *cell, shape.alias("a"), F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("level").alias("a_level"))
+    b = dealt.select(*cell, shape.alias("b"), F.col("x0").alias("bx"), F.col("y0").alias("by"), F.col("level").alias("b_level"))
     close = footprint_gap("a", "b") <= F.col("gap")
-    first_cell = (F.col("gx") == F.greatest("ax", "bx")) & (F.col("gy") == F.greatest("ay", "by"))
-    met = a.join(b, ["board_id", "gx", "gy"]).where(other & first_cell & close)
-    wide = f.where("wide").select("board_id", "gap", shape.alias("w"))
-    rest = f.select("board_id", shape.alias("o"), F.col("wide").alias("o_wide"))
-    over = wide.join(rest, "board_id").where("w.ord <> o.ord AND w.name <> o.name AND (NOT o_wide OR w.ord < o.ord)")
-    over = over.select("board_id", "gap", F.expr("IF(w.ord < o.ord, w, o)").alias("a"), F.expr("IF(w.ord < o.ord, o, w)").alias("b")).where(close)
-    return met.select("board_id", "a", "b").unionByName(over.select("board_id", "a", "b")).select("board_id", F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+    first_cell = (F.col("gx") == F.greatest("ax", "bx")) & (F.col("gy") == F.greatest("ay", "by")) & (F.col("at") == F.greatest("a_level", "b_level"))
+    met = a.join(b, cell).where(first_cell & other & close)
+    return met.select("board_id", F.col("a.name").alias("a"), F.col("b.name").alias("b"))
 
 
 def cell_stars(nodes: DataFrame, *, gap: Column | float = DEFAULT_GAP) -> DataFrame:

@@ -140,6 +140,32 @@ class TestSpatial:
         rows = [node(0, "large", 0, 0, 1000, 1000), node(1, "near", 1100, 0, 100, 100), node(2, "far", 5000, 0, 100, 100)]
         assert groups(spatial.cluster(nodes_df(spark, rows), gap=160, max_cells=4)) == [["far"], ["large", "near"]]
 
+    @pytest.mark.parametrize("most", [1, 6, 4096])
+    def test_pairs_of_all_sizes_equal_brute_force(self, spark, most):
+        draw = random.Random(most)
+        size = lambda: 10 ** draw.uniform(0, 7)
+        far = lambda: draw.choice((-1, 1)) * 10 ** draw.uniform(1, 7)
+        rows = [node(i, f"n{i}", far(), far(), size(), size(), 30 if board == "q" and draw.random() < 0.2 else 0, board=board) for board in "pq" for i in range(120)]
+
+        def gap(a, b):
+            (ax, ay, aw, ah, ar), (bx, by, bw, bh, br) = a[5:10], b[5:10]
+            if ar or br:
+                return max(0, math.hypot(ax + aw / 2 - bx - bw / 2, ay + ah / 2 - by - bh / 2) - (aw + ah) / 4 - (bw + bh) / 4)
+            return math.hypot(max(0, ax - bx - bw, bx - ax - aw), max(0, ay - by - bh, by - ay - ah))
+
+        want = sorted((a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and gap(a, b) <= 160)
+        assert sorted(tuple(r) for r in spatial.near_pairs(nodes_df(spark, rows), gap=160, max_cells=most).collect()) == want
+
+    def test_many_nodes_over_few_cells(self, spark):
+        k = F.col("id")
+        nodes = spark.range(40_000).select(
+            F.lit("b").alias("board_id"), k.alias("ord"), k, (k % 200 * 500).cast("double").alias("x"), (F.floor(k / 200) * 1000).cast("double").alias("y"),
+            F.lit(400.0).alias("width"), F.lit(300.0).alias("height"), F.lit(0.0).alias("rotation"),
+        )
+        began = time.monotonic()
+        got = spatial.near_pairs(nodes, gap=160, max_cells=6).agg(F.count("*"), F.sum(F.col("b") - F.col("a"))).first()
+        assert tuple(got) == (200 * 199, 200 * 199) and time.monotonic() - began < 40
+
     def test_bisect_and_numbers(self, spark):
         rows = [node(i, f"n{i}", 50 * i, 0, 100, 100) for i in range(11)]
         got = spatial.cluster(nodes_df(spark, rows), gap=0, max_size=4)
