@@ -33,6 +33,8 @@ _ODD_BYTES = re.compile(_ODD_THEN_SPACE.pattern[:-1])
 MAX_UNITS = 1 << 21
 #: The same for the pieces that the split pattern makes of new units.
 MAX_PIECES = 1 << 17
+#: Bytes of short texts that are encoded together: what a unit takes meanwhile is many times its bytes.
+RUN_BYTES = 1 << 18
 
 
 class KeyTable:
@@ -206,7 +208,7 @@ class ByteBpe:
         A text beyond ``CHUNK_BYTES`` is encoded by windows, cut before spaces
         that follow a visible ASCII byte: no unit spans those.
         """
-        for first, end, data, offsets in W.text_chunks(column):
+        for first, end, data, offsets in W.text_chunks(column, RUN_BYTES):
             if len(data) <= W.CHUNK_BYTES or not self.by_unit:
                 yield first, end, *self._chunk(data, offsets)
                 continue
@@ -230,12 +232,17 @@ _LOADED: dict[str, ByteBpe] = {}
 
 
 def load(path: str) -> ByteBpe:
-    """The tokenizer at ``path``, read once per Python worker."""
+    """The tokenizer at ``path``, read once per Python worker (or again after :func:`forget`)."""
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Let go of the tokenizers that this worker holds, with their tables (300 MB and more)."""
+    _LOADED.clear()
+
+
 def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end_id`` to each row's ids."""
     out = np.full(len(ids) + len(counts), end_id, ids.dtype)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardlens.llm import words as W
+from boardlens.llm.shared import lean
 
 # The positions that each mask looks at.
 MASKS = ((0, 4, 6, 7, 9, 10), (0, 1, 3, 8, 9, 10), (0, 1, 2, 4, 5, 6), (0, 4, 5, 7, 8, 9))
@@ -230,7 +231,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
                     names=[key, item_key, *(x.split()[0] for x in RESULT.split(", "))],
                 )
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run), schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlens.llm import words as W
-from boardlens.llm.shared import drop_table, materialise
+from boardlens.llm.shared import drop_table, lean, materialise
 from boardlens.operators.components import LOCAL_EDGES, connected_components, local_components
 
 U64 = np.uint64
@@ -281,7 +281,7 @@ def _common_members(docs: DataFrame, n_docs: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), _signed(h))], names=["h"])
 
     sample = docs.where(F.pmod(F.xxhash64("k", F.length("t")), F.lit(every)) == 0).select("t")
-    held = sample.mapInArrow(run, "h array<long>").select(F.explode("h").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_IN)
+    held = sample.mapInArrow(lean(run), "h array<long>").select(F.explode("h").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_IN)
     top = held.orderBy(F.desc("count"), "h").limit(MAX_COMMON).select("h").toArrow()
     return np.sort(np.asarray(top["h"]).astype(np.int64).view(U64))
 
@@ -369,9 +369,9 @@ def candidate_groups(docs: DataFrame, n_docs: int, members: int) -> DataFrame:
         if held:
             yield from finish()
 
-    blobs = docs.select("t").mapInArrow(index, "part int, blob binary")
+    blobs = docs.select("t").mapInArrow(lean(index), "part int, blob binary")
     dealt = blobs.repartition(min(1 << bits, MAX_PARTITIONS), "part").sortWithinPartitions("part")
-    found = dealt.mapInArrow(match, "gid long, sig long, nodes array<long>")
+    found = dealt.mapInArrow(lean(match), "gid long, sig long, nodes array<long>")
     return found.groupBy("gid").agg(F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
 
 
@@ -427,7 +427,7 @@ def _members(docs: DataFrame, groups: DataFrame) -> DataFrame:
         return pa.table({"s": pa.array([part["s"][0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     packed = np.zeros((64, BLOOM_BITS // 512), np.uint8)  # 8 MB, whatever the input
-    for r in wanted.coalesce(16).mapInArrow(bits, "s int, bits binary").groupBy("s").applyInArrow(either, "s int, bits binary").collect():
+    for r in wanted.coalesce(16).mapInArrow(lean(bits), "s int, bits binary").groupBy("s").applyInArrow(either, "s int, bits binary").collect():
         packed[r["s"]] = np.frombuffer(r["bits"], np.uint8)
     slots = spark.sparkContext.broadcast(packed.ravel())
 
@@ -446,7 +446,7 @@ def _members(docs: DataFrame, groups: DataFrame) -> DataFrame:
                     sets = [h[cut[i] : cut[i + 1]] for i in some]
                     yield pa.RecordBatch.from_arrays([_signed(key[some]), pa.array(size[some], pa.int64()), pa.array(map(sketch, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "size", "sketch", "members"])
 
-    return docs.select("t").mapInArrow(run, "node long, size long, sketch binary, members binary")
+    return docs.select("t").mapInArrow(lean(run), "node long, size long, sketch binary, members binary")
 
 
 def compare_group(node: np.ndarray, part: np.ndarray, degree: np.ndarray, size: np.ndarray, sketches: list[bytes], centres: int, first: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -495,7 +495,7 @@ def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
         met = F.broadcast(met)
     sets = members.select("node", "members").join(met, "node", "left_semi").dropDuplicates(["node"])
     full = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
-    return full.mapInArrow(run, "a long, b long, linked boolean")
+    return full.mapInArrow(lean(run), "a long, b long, linked boolean")
 
 
 TURN = "gid long, a long, b long, nodes array<long>"
@@ -622,7 +622,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(size, pa.int64()), _signed(node)], names=["k", "n", "node"])
 
     kind = docs.schema[key].dataType.simpleString()
-    sets = materialise(rows.mapInArrow(size_up, f"k {kind}, n long, node long"), "jaccard-sets")
+    sets = materialise(rows.mapInArrow(lean(size_up), f"k {kind}, n long, node long"), "jaccard-sets")
     totals = sets.agg(F.count("*"), F.sum("n")).first()
     found = materialise(candidate_groups(rows, totals[0], totals[1] or 0), "jaccard-groups")
     groups, hot = found.where("sig IS NULL").select("gid", "nodes"), found.where("sig IS NOT NULL")

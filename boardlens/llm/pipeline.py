@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from boardlens.llm import decontaminate, jaccard, packing, secrets, token_pieces, toxicity
 from boardlens.llm.paths import tokenizer_file
 from boardlens.llm.shared import materialise
+from boardlens.operators.components import LOCAL_EDGES
 from boardlens.plans.workers import ensure_importable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,12 +42,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest id (of equal ids, with the smallest hash)."""
     ensure_importable(spark)
     rows = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-rows")
-    nameless = F.col("doc_id").isNull()
-    name = F.struct(nameless.alias("nameless"), "doc_id", F.xxhash64("text").alias("mark"), F.when(nameless, F.col("row")).alias("row"))
-    rows = rows.select(*COLUMNS, name.alias("name"))
-    found = jaccard.near_duplicates(rows.select("name", "text"), key="name")
-    copies = found.where("name <> component_id").select("name")
-    return rows.join(copies, "name", "left_anti").select(*COLUMNS)
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("mark"), "row")
+    found = jaccard.near_duplicates(rows.select(name.alias("name"), "text"), key="name")
+
+    def document(c: str) -> Column:
+        return F.struct(f"{c}.nameless", f"{c}.doc_id", f"{c}.mark", F.when(F.col(f"{c}.nameless"), F.col(f"{c}.row")))
+
+    copies = found.where(document("name") != document("component_id")).select("name.row")
+    # One bit a row, by 64 rows, goes to the texts, which stay where they are.
+    bits = materialise(copies.groupBy(F.shiftright("row", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row & 63 as int))")).alias("bits")), "near-copies")
+    if bits.count() <= LOCAL_EDGES:  # a checked number of pairs of 8 bytes
+        bits = F.broadcast(bits)
+    kept = rows.withColumn("at", F.shiftright("row", 6)).join(bits, "at", "left")
+    return kept.where("bits IS NULL OR shiftright(bits, cast(row & 63 as int)) & 1 = 0").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

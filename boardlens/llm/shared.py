@@ -6,14 +6,18 @@ executors writes are handled here.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardlens.llm import bpe
 from boardlens.sources.scratch import drop_dir, drop_table, materialise, new_dir
 
-__all__ = ["drop_dir", "drop_table", "materialise", "new_dir", "numbered", "open_fs", "open_ranges", "read_bytes", "write_bytes"]
+__all__ = ["drop_dir", "drop_table", "give_back", "lean", "materialise", "new_dir", "numbered", "open_fs", "open_ranges", "read_bytes", "write_bytes"]
 
 
 def numbered(docs: DataFrame, keep: list[str], *extra: Column) -> DataFrame:
@@ -22,6 +26,33 @@ def numbered(docs: DataFrame, keep: list[str], *extra: Column) -> DataFrame:
     return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *, tables: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, in a Python worker that holds only what it needs.
+
+    Workers live on and take tasks of other operators: the tokenizers' tables of
+    earlier tasks go first (unless ``tables`` are what it works with), and freed
+    memory is returned before and after.
+    """
+
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            bpe.forget()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return on
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI for Python code on executors."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from boardlens.llm import bpe
-from boardlens.llm.shared import numbered
+from boardlens.llm.shared import lean, numbered
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, text: str = "text") -> DataFrame:
@@ -42,4 +42,4 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, tex
                 )
 
     out = [StructField("doc_tokens", LongType()), StructField("piece_crcs", ArrayType(LongType()))]
-    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *out]))
+    return rows.mapInArrow(lean(run, tables=True), StructType([*(docs.schema[c] for c in keep), *out]))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from boardlens.llm.shared import numbered
+from boardlens.llm.shared import lean, numbered
 
 HASH_BITS = 20
 ORDERS = (3, 4, 5, 6, 7)
@@ -187,7 +187,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label:
         return pa.table({"s": pa.array([part["s"][0].as_py()], pa.int32()), "df": pa.array([total.tobytes()], pa.binary()), "n0": pa.array([sum(part["n0"].to_pylist())], pa.int64()), "n1": pa.array([sum(part["n1"].to_pylist())], pa.int64())})
 
     schema = "s int, df binary, n0 long, n1 long"
-    sums = sorted(sample.mapInArrow(count, schema).groupBy("s").applyInArrow(add, schema).collect())
+    sums = sorted(sample.mapInArrow(lean(count), schema).groupBy("s").applyInArrow(add, schema).collect())
     df0, df1 = np.concatenate([np.frombuffer(r["df"], np.int64).reshape(2, -1) for r in sums], axis=1)
     n0, n1 = sums[0]["n0"], sums[0]["n1"]
     ratio = naive_bayes_ratios(df1, df0, n1, n0)
@@ -205,7 +205,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label:
                 cuts = pa.array(np.searchsorted(row, np.arange(end - first + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first).cast(pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(feature, pa.int32()))], names=["y", "f"])
 
-    data = sample.mapInArrow(kept, "y int, f array<int>").toArrow()  # at most max_rows lists of MAX_FEATURES
+    data = sample.mapInArrow(lean(kept), "y int, f array<int>").toArrow()  # at most max_rows lists of MAX_FEATURES
     y, f = np.asarray(data["y"]).astype(np.float32), data["f"].combine_chunks()
     where = np.repeat(np.arange(len(y)), np.diff(np.asarray(f.offsets)))
     x = np.zeros((len(y), len(chosen)), np.float32)
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
     plain = text in keep and docs.schema[text].dataType == StringType()
     at = keep.index(text) if plain else len(keep)
     rows = numbered(docs, keep, *[] if plain else [F.col(f"`{text}`").cast("string")])
-    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField(out, DoubleType())]))
+    return rows.mapInArrow(lean(run), StructType([*(docs.schema[c] for c in keep), StructField(out, DoubleType())]))
 
 
 def learnable(key: Column) -> Column:

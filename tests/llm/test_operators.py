@@ -561,3 +561,36 @@ def test_pipeline_stages_on_null_and_repeated_keys(spark, tmp_path):
     assert left(cp.mask_secrets, [(None, live), (None, b), (4, live), (4, c), (None, None)]) == Counter([(None, cp.MASK + "' " + a), (None, b), (4, cp.MASK + "' " + a), (4, c), (None, None)])
     for stage in (cp.drop_near_duplicates, cp.drop_contaminated, cp.mask_secrets):
         assert not left(stage, [])
+
+
+def test_workers_let_go_of_other_operators_tables():
+    """The tokenizers' tables that packing leaves in a Python worker are gone when a task of another operator begins."""
+    from boardlens.llm import bpe
+    from boardlens.llm.paths import tokenizer_file
+
+    def run(batches):
+        for batch in batches:
+            yield batch, len(bpe._LOADED)
+
+    bpe.load(tokenizer_file("byte_bpe_50k.json"))
+    assert list(shared.lean(run, tables=True)(iter([7]))) == [(7, 1)]
+    assert list(shared.lean(run)(iter([7, 8]))) == [(7, 0), (8, 0)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_copies_fall_by_row(spark, tmp_path, monkeypatch, most):
+    """Bits of dropped rows meet their rows in files of more than 64 rows, broadcast or not; texts stay where they are."""
+    from boardlens.llm import pipeline
+
+    monkeypatch.setattr(pipeline, "LOCAL_EDGES", most)
+    rng = random.Random(51)
+    texts = [prose(rng, 20) for _ in range(150)]
+    rows = [(i, texts[i % 150] if i % 3 else prose(rng, 20), "en", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    out = pipeline.drop_near_duplicates(spark, docs, "")
+    first: dict[str, int] = {}
+    for r in rows:
+        first.setdefault(r[1], r[0])
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(first.values()) and len(first) < 300
+    if most > 0:
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
